@@ -1,0 +1,23 @@
+"""ANSI SQL that states each registered query independently, for DuckDB.
+
+``STATEMENTS`` maps a query name to its SQL over the model tables; ``statement`` puts the
+definitions of those tables, over the star tables, in front of it.
+"""
+
+from __future__ import annotations
+
+from oracle.lines import LINES
+from oracle.model import MODEL
+from oracle.quality import QUALITY
+from oracle.reviews import REVIEWS
+from oracle.sheets import SHEETS
+from oracle.sla import SLA
+
+STATEMENTS = {**QUALITY, **SLA, **REVIEWS, **SHEETS, **LINES}
+
+
+def statement(name: str) -> str:
+    """Complete SQL of one query."""
+    body = STATEMENTS[name].strip()
+    joint = ",\n" if body[:4].upper() == "WITH" else "\n"
+    return f"WITH {MODEL}{joint}{body[4:].strip() if joint != chr(10) else body}"
