@@ -78,11 +78,9 @@ def delivery_by_weight(model: Model) -> DataFrame:
     per_order = (
         model["order_items"]
         .select("order_id", "product_id")
-        .groupBy("order_id", "product_id")
-        .agg(F.count("*").alias("pieces"))
         .join(weights, "product_id")
         .groupBy("order_id")
-        .agg(F.sum(F.col("product_weight_g") * F.col("pieces")).alias("grams"))
+        .agg(F.sum("product_weight_g").alias("grams"))
     )
     weighed = sample(model).join(per_order, "order_id")
     number = WEIGHT_BUCKETS.number(F.col("grams")).alias("bucket_no")
@@ -101,7 +99,6 @@ def lanes(model: Model) -> DataFrame:
     shipped_from = (
         model["order_items"]
         .select("order_id", "seller_id")
-        .distinct()
         .join(origins, "seller_id")
         .select("order_id", "seller_state")
         .distinct()

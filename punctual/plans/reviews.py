@@ -15,6 +15,8 @@ from punctual.sources.model import Model
 
 def with_review(model: Model, how: str) -> DataFrame:
     """The sample joined with one review per order; both sides meet on the order id."""
+    if model.prepared is not None:
+        return model.prepared() if how == "left" else model.prepared().filter("has_review")
     scores = review_per_order(model["order_reviews"]).select("order_id", "review_score")
     return sample(model).join(scores, "order_id", how)
 

@@ -17,7 +17,12 @@ from punctual.sources.model import Model
 
 
 def sample(model: Model, within: Period | None = None) -> DataFrame:
-    """The working sample; ``within`` lets the source skip orders that a query drops anyway."""
+    """The working sample, as prepared or else from the orders.
+
+    ``within`` lets the source skip orders that the query drops anyway.
+    """
+    if model.prepared is not None:
+        return model.prepared()
     period = model.calendar.period
     near = within or period
     return delivered_orders(
