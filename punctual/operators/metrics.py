@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from punctual.fixed_values import Period
 from punctual.functions import mean, rounded, share
-from punctual.functions.times import micros
+from punctual.functions.times import DAY, micros
 from punctual.operators.histogram import all_rows, running
 from punctual.operators.percentiles import group_percentile, percentile
 from punctual.operators.sample import APPROVED, CARRIER, PURCHASE, RECEIVED
@@ -157,7 +157,7 @@ def stage_breakdown(sample: DataFrame, months: Period, point: float = 0.9) -> Da
         max_groups=months.months(),
     )
     by_month = stages.groupBy("purchase_month").agg(*(
-        rounded(F.max(F.when(F.col("measure") == name, F.col("value"))) / F.lit(86_400e6), 2).alias(name)
+        rounded(F.max(F.when(F.col("measure") == name, F.col("value"))) / F.lit(float(DAY)), 2).alias(name)
         for name in ("p90_approve_days", "p90_handover_days", "p90_transit_days")
     ))
     return counted.join(by_month, "purchase_month", "left").select(

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from punctual.fixed_values import SHEET_SUFFIX
 from punctual.functions import Buckets
 from punctual.operators import metrics, reconcile
+from punctual.plans.prepared import prepare
 from punctual.plans.reviews import with_review
 from punctual.plans.sla import sample
 from punctual.sources.files import write_sheet
@@ -51,11 +54,13 @@ def reconciliation(model: Model) -> DataFrame:
 def export(model: Model, path: str, fmt: str = "csv") -> DataFrame:
     """Write the sheets, then reconcile what was written with the sample.
 
-    The order sheet is the only one computed from the sources' join and is kept as
-    Parquet beside its final form; totals are read back from the files.
+    The sample is written first, unless it is prepared already, so that the three sheets
+    share its joins. Totals are read back from the sheets' files, and the sample is
+    counted from the orders again.
     """
     spark = model["orders"].sparkSession
-    sheets = {"orders": order_sheet(model), "months": month_sheet(model), "states": state_sheet(model)}
+    ready = model if model.prepared is not None else prepare(model, f"{path}/sample")
+    sheets = {"orders": order_sheet(ready), "months": month_sheet(ready), "states": state_sheet(ready)}
     for name, sheet in sheets.items():
         write_sheet(sheet, f"{path}/{name}", fmt, one_file=name != "orders")
     reader = spark.read if fmt == "parquet" else spark.read.option("header", True)
@@ -67,5 +72,5 @@ def export(model: Model, path: str, fmt: str = "csv") -> DataFrame:
         "flat table of orders": reconcile.order_totals(written["orders"]),
         "total by month": reconcile.totals(written["months"]),
         "total by state": reconcile.totals(written["states"]),
-        "delivered_orders": reconcile.order_totals(sample(model)),
+        "delivered_orders": reconcile.order_totals(sample(replace(model, prepared=None))),
     })

@@ -1,3 +1,7 @@
+import math
+import random
+from fractions import Fraction
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,6 +25,16 @@ def test_share(spark, n, d, digits, expected):
     assert frame.select(share(F.col("n"), F.col("d"), digits)).first()[0] == expected
 
 
+def test_shares_equal_decimal_arithmetic(spark):
+    rng = random.Random(1)
+    pairs = [(rng.randint(0, d), d) for d in (rng.randint(1, 10**rng.randint(1, 12)) for _ in range(500))]
+    frame = spark.createDataFrame(pairs, "n bigint, d bigint")
+    for digits in (0, 2, 3):
+        for n, d, got in frame.select("n", "d", share(F.col("n"), F.col("d"), digits)).collect():
+            exact = Fraction(100 * n, d) * 10**digits
+            assert got == math.floor(exact + Fraction(1, 2)) / 10**digits
+
+
 def test_ratio_and_mean(spark):
     frame = spark.createDataFrame([(1,), (2,), (None,), (2,)], "x int")
     assert frame.agg(mean(F.col("x"))).first()[0] == 1.67
