@@ -8,21 +8,25 @@ it uses, skips the months it does not need, and shuffles nothing but its counts.
 from __future__ import annotations
 
 from dataclasses import replace
+from uuid import uuid4
 
 from pyspark.sql import functions as F
 
 from punctual.operators.latest import review_per_order
 from punctual.plans.sla import sample
+from punctual.session import scratch_folder
 from punctual.sources.model import Model
 
 
-def prepare(model: Model, path: str) -> Model:
+def prepare(model: Model, path: str | None = None) -> Model:
     """Write the sample, with the score of one review per order, and return a model reading it.
 
+    Without a path it goes to a new folder under ``spark.checkpoint.dir``.
     Files are laid out by month. The rebalance lets Spark split a month that holds a large
     part of the rows over several tasks, and merge small ones.
     """
     spark = model["orders"].sparkSession
+    path = path or f"{scratch_folder(spark)}/sample-{uuid4().hex}"
     scores = review_per_order(model["order_reviews"]).select(
         "order_id", "review_score", F.lit(True).alias("has_review")
     )

@@ -39,12 +39,12 @@ def purchase_span(model: Model) -> DataFrame:
 
 def status_shares(model: Model) -> DataFrame:
     shares = profile.value_shares(model["orders"], "order_status", "orders", "share_pct")
-    return shares.orderBy(F.desc("orders"))
+    return shares.orderBy(F.desc("orders"), "order_status")
 
 
 def missing_dates(model: Model) -> DataFrame:
     columns = {"no_approved": APPROVED, "no_carrier": CARRIER, "no_delivered": RECEIVED}
-    return profile.null_profile(model["orders"], "order_status", columns).orderBy(F.desc("orders_count"))
+    return profile.null_profile(model["orders"], "order_status", columns).orderBy(F.desc("orders_count"), "order_status")
 
 
 def delivered_without_date(model: Model) -> DataFrame:
@@ -72,7 +72,7 @@ def date_order_by_status(model: Model) -> DataFrame:
         model["orders"]
         .groupBy("order_status")
         .agg(F.count("*").alias("orders"), *_broken_stages())
-        .orderBy(F.desc("handover_bad"))
+        .orderBy(F.desc("handover_bad"), "order_status")
     )
 
 
@@ -120,7 +120,7 @@ def tail_orders(model: Model) -> DataFrame:
     return (
         model.orders_near(start=tail)
         .filter(F.col(PURCHASE) >= F.lit(tail).cast("timestamp_ntz"))
-        .orderBy(PURCHASE)
+        .orderBy(PURCHASE, "order_id")
     )
 
 

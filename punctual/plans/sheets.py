@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from datetime import date
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,8 +37,11 @@ def order_sheet(model: Model) -> DataFrame:
     )
 
 
-def month_sheet(model: Model) -> DataFrame:
+def month_sheet(model: Model, partial_from: date | None = None) -> DataFrame:
+    """Summary per month; ``partial_from`` marks the months from there on as incomplete."""
     summary = metrics.sla_summary(with_review(model, "left"), "purchase_month", cushion=True, scored=True)
+    if partial_from is not None:
+        summary = summary.withColumn("is_partial_month", F.col("purchase_month") >= F.lit(partial_from))
     return summary.orderBy("purchase_month")
 
 

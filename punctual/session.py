@@ -15,6 +15,14 @@ SETTINGS = {
 }
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """The shared folder that the cluster names for intermediate tables."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        raise ValueError("spark.checkpoint.dir is not set; pass a path on shared storage")
+    return folder.rstrip("/")
+
+
 def local_session(cores: int | str = "*", **settings: str) -> SparkSession:
     """A session for tests and the benchmark; on a cluster use the session it gives you."""
     builder = (
@@ -22,6 +30,8 @@ def local_session(cores: int | str = "*", **settings: str) -> SparkSession:
         .appName("punctual")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # Recording the call site of every column expression slows short queries.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", os.environ.get("PUNCTUAL_DRIVER_MEMORY", "8g"))
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.checkpoint.dir", tempfile.gettempdir() + "/punctual-checkpoints")

@@ -10,43 +10,27 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import (
-    DoubleType,
-    IntegerType,
-    LongType,
-    StringType,
-    StructField,
-    StructType,
-    TimestampNTZType,
-)
 
 from punctual.fixed_values import DELIVERED, SHIPPED, Period
 from punctual.sources.model import Calendar, Model
 
-_LONG, _INT, _NUMBER, _TEXT, _TIME = LongType(), IntegerType(), DoubleType(), StringType(), TimestampNTZType()
-
 # Declared so that opening a table needs no job to read file footers.
 STAR_SCHEMAS = {
-    "nation": {"n_nationkey": _INT, "n_name": _TEXT, "n_regionkey": _INT},
-    "customer": {
-        "c_custkey": _LONG, "c_name": _TEXT, "c_nationkey": _INT, "c_acctbal": _NUMBER, "c_mktsegment": _TEXT,
-    },
-    "supplier": {"s_suppkey": _LONG, "s_name": _TEXT, "s_nationkey": _INT, "s_acctbal": _NUMBER},
-    "part": {
-        "p_partkey": _LONG, "p_name": _TEXT, "p_brand": _TEXT, "p_type": _TEXT, "p_size": _INT,
-        "p_retailprice": _NUMBER,
-    },
-    "orders": {
-        "o_orderkey": _LONG, "o_custkey": _LONG, "o_orderstatus": _TEXT, "o_totalprice": _NUMBER,
-        "o_orderdate": _TIME, "o_orderpriority": _TEXT,
-    },
-    "lineitem": {
-        "l_orderkey": _LONG, "l_partkey": _LONG, "l_suppkey": _LONG, "l_linenumber": _INT,
-        "l_quantity": _NUMBER, "l_extendedprice": _NUMBER, "l_discount": _NUMBER, "l_tax": _NUMBER,
-        "l_returnflag": _TEXT, "l_linestatus": _TEXT, "l_shipdate": _TIME,
-    },
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,"
+        " o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double,"
+        " l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string,"
+        " l_shipdate timestamp_ntz"
+    ),
 }
 
 # The star data's own calendar: orders exist on both sides of the period.
@@ -58,27 +42,20 @@ STAR_CALENDAR = Calendar(
     baseline=date(1998, 10, 1),
 )
 
-_PAYMENT_TYPES = ("credit_card", "boleto", "voucher", "debit_card")
-_DAY = 86_400
+_SECOND = "INTERVAL '1' SECOND"
 
 
 def _open(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    schema = StructType([StructField(name, kind) for name, kind in STAR_SCHEMAS[table].items()])
-    return spark.read.schema(schema).parquet(f"{sf_dir}/{table}.parquet")
+    return spark.read.schema(STAR_SCHEMAS[table]).parquet(f"{sf_dir}/{table}.parquet")
 
 
-def _cents(money: str) -> Column:
+def _cents(money: str) -> str:
     """Whole cents of an amount stored as a double with two decimals."""
-    return F.rint(F.col(money) * 100).cast("bigint")
-
+    return f"CAST(rint({money} * 100) AS BIGINT)"
 
-def _money(cents: Column) -> Column:
-    return (cents.cast("decimal(12,0)") / 100).cast("decimal(10,2)")
 
-
-def _plus_seconds(moment: Column, seconds: Column) -> Column:
-    """``seconds`` may be NULL, and so is the result then."""
-    return moment + F.expr("INTERVAL '1' SECOND") * seconds
+def _money(cents: str) -> str:
+    return f"CAST(CAST({cents} AS DECIMAL(12,0)) / 100 AS DECIMAL(10,2))"
 
 
 def orders(spark: SparkSession, sf_dir: str, start: date | None = None, end: date | None = None) -> DataFrame:
@@ -92,47 +69,41 @@ def orders(spark: SparkSession, sf_dir: str, start: date | None = None, end: dat
         raw = raw.filter(F.col("o_orderdate") > F.lit(start - timedelta(days=1)).cast("timestamp_ntz"))
     if end is not None:
         raw = raw.filter(F.col("o_orderdate") < F.lit(end).cast("timestamp_ntz"))
-
-    key, customer, price, placed = F.col("o_orderkey"), F.col("o_custkey"), F.col("price"), F.col("o_orderdate")
-    purchase = F.col("order_purchase_timestamp")
-    tail = (
-        F.when(key % 100 == 0, 60 * _DAY).when(key % 50 == 0, 30 * _DAY).when(key % 20 == 0, 15 * _DAY).otherwise(0)
-    )
-    handover = F.when(key % 101 != 0, (price * 13 + key * 31) % (12 * _DAY) - 3600)
-    travel = F.coalesce(handover, F.lit(3 * _DAY)) + (price * 17 + customer * 101) % (16 * _DAY) - 7200 + tail
-    status = F.when(F.col("o_orderstatus") == "P", SHIPPED).otherwise(DELIVERED)
-    return (
-        raw.withColumn("price", _cents("o_totalprice"))
-        .withColumn("order_purchase_timestamp", _plus_seconds(placed, price % _DAY))
-        .select(
-            key.alias("order_id"),
-            customer.alias("customer_id"),
-            status.alias("order_status"),
-            purchase,
-            F.when(key % 97 != 0, _plus_seconds(purchase, (price * 7 + key) % (2 * _DAY))).alias("order_approved_at"),
-            _plus_seconds(purchase, handover).alias("order_delivered_carrier_date"),
-            F.when((status == DELIVERED) & (key % 89 != 0), _plus_seconds(purchase, travel))
-            .alias("order_delivered_customer_date"),
-            _plus_seconds(placed, (10 + price % 35) * _DAY).alias("order_estimated_delivery_date"),
-        )
-    )
+    return raw.selectExpr(
+        "o_orderkey AS order_id",
+        "o_custkey AS customer_id",
+        f"IF(o_orderstatus = 'P', '{SHIPPED}', '{DELIVERED}') AS order_status",
+        f"{_cents('o_totalprice')} AS p",
+        f"o_orderdate + {_SECOND} * (p % 86400) AS order_purchase_timestamp",
+        f"IF(order_id % 97 <> 0, order_purchase_timestamp + {_SECOND} * ((p * 7 + order_id) % 172800), NULL)"
+        " AS order_approved_at",
+        "IF(order_id % 101 <> 0, (p * 13 + order_id * 31) % 1036800 - 3600, NULL) AS handover",
+        f"order_purchase_timestamp + {_SECOND} * handover AS order_delivered_carrier_date",
+        "CASE WHEN order_id % 100 = 0 THEN 5184000 WHEN order_id % 50 = 0 THEN 2592000"
+        " WHEN order_id % 20 = 0 THEN 1296000 ELSE 0 END AS delay",
+        f"""IF(order_status = '{DELIVERED}' AND order_id % 89 <> 0,
+               order_purchase_timestamp + {_SECOND} * (
+                   coalesce(handover, 259200) + (p * 17 + customer_id * 101) % 1382400 - 7200 + delay),
+               NULL) AS order_delivered_customer_date""",
+        "o_orderdate + INTERVAL '1' DAY * (10 + p % 35) AS order_estimated_delivery_date",
+    ).drop("p", "handover", "delay")
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two customer records to a person, as one person's orders carry different ids."""
-    people = _open(spark, sf_dir, "customer")
-    return people.join(F.broadcast(_nations(spark, sf_dir)), people.c_nationkey == F.col("n_nationkey")).select(
-        F.col("c_custkey").alias("customer_id"),
-        F.call_function("div", F.col("c_custkey"), F.lit(2)).alias("customer_unique_id"),
-        F.col("c_mktsegment").alias("customer_city"),
-        F.col("n_name").alias("customer_state"),
+    people = _open(spark, sf_dir, "customer").withColumnRenamed("c_nationkey", "n_nationkey")
+    return people.join(F.broadcast(_nations(spark, sf_dir)), "n_nationkey").selectExpr(
+        "c_custkey AS customer_id",
+        "c_custkey DIV 2 AS customer_unique_id",
+        "c_mktsegment AS customer_city",
+        "n_name AS customer_state",
     )
 
 
 def sellers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shops = _open(spark, sf_dir, "supplier")
-    return shops.join(F.broadcast(_nations(spark, sf_dir)), shops.s_nationkey == F.col("n_nationkey")).select(
-        F.col("s_suppkey").alias("seller_id"), F.col("n_name").alias("seller_state")
+    shops = _open(spark, sf_dir, "supplier").withColumnRenamed("s_nationkey", "n_nationkey")
+    return shops.join(F.broadcast(_nations(spark, sf_dir)), "n_nationkey").selectExpr(
+        "s_suppkey AS seller_id", "n_name AS seller_state"
     )
 
 
@@ -142,60 +113,53 @@ def _nations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _open(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("product_id"),
-        F.col("p_type").alias("product_category_name"),
-        (F.col("p_size") * 100).alias("product_weight_g"),
+    return _open(spark, sf_dir, "part").selectExpr(
+        "p_partkey AS product_id", "p_type AS product_category_name", "p_size * 100 AS product_weight_g"
     )
 
 
 def category_translation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every category that occurs, but one: its products have no translation."""
-    return (
-        _open(spark, sf_dir, "part")
-        .filter(F.col("p_type") != "ECONOMY")
-        .groupBy(F.col("p_type").alias("product_category_name"))
-        .agg(F.lower(F.first("p_type")).alias("product_category_name_english"))
-    )
+    named = _open(spark, sf_dir, "part").filter("p_type <> 'ECONOMY'").select("p_type").distinct()
+    return named.selectExpr("p_type AS product_category_name", "lower(p_type) AS product_category_name_english")
 
 
 def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per line; (order, line) repeats here, a positive case for the key check."""
-    return _open(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("order_id"),
-        F.col("l_linenumber").alias("order_item_id"),
-        F.col("l_partkey").alias("product_id"),
-        F.col("l_suppkey").alias("seller_id"),
-        F.col("l_shipdate").alias("shipping_limit_date"),
-        _money(_cents("l_extendedprice")).alias("price"),
-        _money(_cents("l_extendedprice") % 5000).alias("freight_value"),
+    return _open(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey AS order_id",
+        "l_linenumber AS order_item_id",
+        "l_partkey AS product_id",
+        "l_suppkey AS seller_id",
+        "l_shipdate AS shipping_limit_date",
+        f"{_money(_cents('l_extendedprice'))} AS price",
+        f"{_money(_cents('l_extendedprice') + ' % 5000')} AS freight_value",
     )
 
 
 def order_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One payment per order; every third order adds a second one."""
-    key, number = F.col("o_orderkey"), F.col("payment_sequential")
-    count = F.when(key % 3 == 0, 2).otherwise(1)
-    kind = F.element_at(F.array(*map(F.lit, _PAYMENT_TYPES)), (1 + (key + number) % 4).cast("int"))
     return (
         _open(spark, sf_dir, "orders")
-        .withColumn("payment_sequential", F.explode(F.sequence(F.lit(1), count)))
-        .select(
-            key.alias("order_id"),
-            number,
-            kind.alias("payment_type"),
-            (1 + key % 12).cast("int").alias("payment_installments"),
-            _money(F.call_function("div", _cents("o_totalprice"), count.cast("bigint"))).alias("payment_value"),
+        .selectExpr("*", "IF(o_orderkey % 3 = 0, 2, 1) AS parts")
+        .selectExpr("*", "explode(sequence(1, parts)) AS payment_sequential")
+        .selectExpr(
+            "o_orderkey AS order_id",
+            "payment_sequential",
+            "element_at(array('credit_card', 'boleto', 'voucher', 'debit_card'),"
+            " CAST(1 + (o_orderkey + payment_sequential) % 4 AS INT)) AS payment_type",
+            "CAST(1 + o_orderkey % 12 AS INT) AS payment_installments",
+            f"{_money(_cents('o_totalprice') + ' DIV parts')} AS payment_value",
         )
     )
 
 
 def order_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _open(spark, sf_dir, "lineitem").select(
-        F.col("l_partkey").alias("review_id"),
-        F.col("l_orderkey").alias("order_id"),
-        (1 + F.col("l_quantity").cast("bigint") % 5).cast("int").alias("review_score"),
-        F.col("l_shipdate").alias("review_creation_date"),
+    return _open(spark, sf_dir, "lineitem").selectExpr(
+        "l_partkey AS review_id",
+        "l_orderkey AS order_id",
+        "CAST(1 + CAST(l_quantity AS BIGINT) % 5 AS INT) AS review_score",
+        "l_shipdate AS review_creation_date",
     )
 
 

@@ -1,7 +1,12 @@
+from datetime import date
+
 import pytest
 
+from punctual.__main__ import main
+from punctual.catalog import QUERIES
 from punctual.plans import quality, sheets, sla
 from punctual.plans.prepared import prepare
+from punctual.session import scratch_folder
 from punctual.sources.files import CSV_FILES, csv_model, csv_to_parquet, load_csv, parquet_model, write_sheet
 from punctual.sources.schemas import SCHEMAS
 from punctual.sources.star_tables import star_model
@@ -78,14 +83,31 @@ def test_export_reconciles(spark, sf_dir, tmp_path, fmt):
     assert len(list((tmp_path / "months").glob("part-*"))) == 1
 
 
+def test_partial_months_are_marked_on_request(spark, sf_dir):
+    model = star_model(spark, sf_dir)
+    assert "is_partial_month" not in sheets.month_sheet(model).columns
+    marked = sheets.month_sheet(model, partial_from=date(2001, 7, 1)).filter("is_partial_month").collect()
+    assert [row.purchase_month for row in marked] == [date(2001, 7, 1)]
+
+
+def test_prepared_sample_has_a_default_folder(spark, csv_dir):
+    ready = prepare(csv_model(spark, csv_dir))
+    assert scratch_folder(spark) in ready.prepared().inputFiles()[0]
+
+
+def test_whole_analysis_from_csv(spark, csv_dir, tmp_path, capsys):
+    main([csv_dir, str(tmp_path), "--rows", "5"])
+    printed = capsys.readouterr().out
+    assert all(name in printed for name in QUERIES)
+    assert {path.name for path in (tmp_path / "sheets").iterdir()} == {"orders", "months", "states"}
+
+
 def test_unknown_sheet_format(spark, tmp_path):
     with pytest.raises(ValueError):
         write_sheet(spark.range(1), str(tmp_path / "x"), "xlsx")
 
 
 def test_prepared_sample_gives_the_same_results(spark, sf_dir, tmp_path):
-    from __spark_entry__ import QUERIES
-
     direct = star_model(spark, sf_dir)
     prepared = prepare(direct, str(tmp_path / "facts"))
     for name in ("v_delivered_orders", "q02b_overview", "q02d_lateness_histogram", "q03_stage_p90",
