@@ -16,8 +16,14 @@ def month_of(moment: Column) -> Column:
 
 
 def micros(start: Column, end: Column) -> Column:
-    """Microseconds from ``start`` to ``end``."""
-    return F.timestamp_diff("MICROSECOND", start, end)
+    """Microseconds from ``start`` to ``end``.
+
+    ``timestamp_diff`` would read the moments in the session's time zone and so count a
+    change of clocks; their plain difference does not. Seconds with six decimals survive
+    a double exactly for almost three centuries.
+    """
+    seconds = (end - start).cast("interval second").cast("decimal(18,6)")
+    return F.rint(seconds.cast("double") * SECOND).cast("bigint")
 
 
 def elapsed(start: Column, end: Column, unit: int = DAY) -> Column:

@@ -6,12 +6,12 @@ definitions of those tables, over the star tables, in front of it.
 
 from __future__ import annotations
 
-from oracle.lines import LINES
-from oracle.model import MODEL
-from oracle.quality import QUALITY
-from oracle.reviews import REVIEWS
-from oracle.sheets import SHEETS
-from oracle.sla import SLA
+from sql_oracle.lines import LINES
+from sql_oracle.model import MODEL
+from sql_oracle.quality import QUALITY
+from sql_oracle.reviews import REVIEWS
+from sql_oracle.sheets import SHEETS
+from sql_oracle.sla import SLA
 
 STATEMENTS = {**QUALITY, **SLA, **REVIEWS, **SHEETS, **LINES}
 

@@ -1,7 +1,7 @@
 """Items, sellers, payments, people."""
 
-from oracle.model import bucket, cont, label, pct
-from oracle.sla import _SIZES
+from sql_oracle.model import bucket, cont, label, pct
+from sql_oracle.sla import _SIZES
 
 _WEIGHTS = (1000, 2500, 5000, 10000, 20000)
 

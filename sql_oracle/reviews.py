@@ -1,6 +1,6 @@
 """Scores."""
 
-from oracle.model import bucket, cont, label, mean, pct
+from sql_oracle.model import bucket, cont, label, mean, pct
 
 
 def _scores(digits):

@@ -1,7 +1,7 @@
 """Dashboard sheets."""
 
-from oracle.model import bucket, cont, label, mean, pct
-from oracle.sla import _CUSHION, _SIZES
+from sql_oracle.model import bucket, cont, label, mean, pct
+from sql_oracle.sla import _CUSHION, _SIZES
 
 _REVIEWED = f"""count(review_score) AS reviews_count, {mean('review_score')} AS avg_review_score,
        {cont('review_score', 0.5)} AS median_review_score"""

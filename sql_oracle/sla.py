@@ -1,6 +1,6 @@
 """Working sample and SLA metrics."""
 
-from oracle.model import bucket, cont, label, mean, pct, ratio, rounded
+from sql_oracle.model import bucket, cont, label, mean, pct, ratio, rounded
 
 _SIZES = f"""count(*) AS orders_count, count(*) FILTER (is_late) AS late_orders_count,
        {pct('count(*) FILTER (is_late)', 'count(*)')} AS late_orders_pct,

@@ -5,8 +5,9 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
-from punctual.functions import Buckets, mean, ratio, rounded, share, whole_days
+from punctual.functions import Buckets, elapsed, mean, month_of, ratio, rounded, share, whole_days
 from punctual.functions.buckets import DELIVERY_BUCKETS, LATENESS_BUCKETS
+from punctual.functions.times import micros
 from tests.conftest import moment
 
 
@@ -69,6 +70,25 @@ def test_bucket_labels_and_widths(spark):
     assert widths == [4, 4, 7, 9, 7, 30, 150]
 
 
+@pytest.mark.parametrize("zone", ["UTC", "America/Sao_Paulo"])
+def test_durations_ignore_the_session_time_zone(spark, zone):
+    """The clocks changed between these two moments in Sao Paulo."""
+    kept = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        frame = spark.sql(
+            "SELECT TIMESTAMP_NTZ '1998-02-25 10:00:00.000001' AS a, TIMESTAMP_NTZ '1998-03-05 10:00:00.25' AS b"
+        )
+        forth, back, days, month = frame.select(
+            micros(F.col("a"), F.col("b")), micros(F.col("b"), F.col("a")),
+            elapsed(F.col("a"), F.col("b")), month_of(F.col("b")),
+        ).first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", kept)
+    assert forth == -back == 8 * 86_400_000_000 + 249_999
+    assert days == forth / 86_400e6 and str(month) == "1998-03-01"
+
+
 def test_whole_days_truncates(spark):
     frame = spark.createDataFrame(
         [(moment("2018-01-01 01:00"), moment("2018-03-04 00:00"))], "a timestamp_ntz, b timestamp_ntz"
