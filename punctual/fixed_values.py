@@ -51,5 +51,4 @@ class Period:
 WORKING_PERIOD = Period(date(2017, 1, 1), date(2018, 9, 1))
 STAGE_PERIOD = Period(date(2017, 12, 1), date(2018, 5, 1))
 TAIL_START = date(2018, 9, 1)
-PEAK_MONTH = date(2017, 11, 1)
 BASELINE_MONTH = date(2017, 10, 1)

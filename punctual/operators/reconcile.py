@@ -37,7 +37,10 @@ def reconcile(checks: Mapping[str, DataFrame]) -> DataFrame:
 
 def compare(stacked: DataFrame) -> DataFrame:
     """``agree`` is true where every row has the same two totals."""
-    same = [F.min(column).over(all_rows()) == F.max(column).over(all_rows()) for column in ("orders_count", "late_orders_count")]
+    same = [
+        F.min(column).over(all_rows()) == F.max(column).over(all_rows())
+        for column in ("orders_count", "late_orders_count")
+    ]
     return stacked.select(
         "check_name",
         "orders_count",

@@ -1,0 +1 @@
+"""The queries: functions from a model to a DataFrame."""

@@ -44,7 +44,8 @@ def status_shares(model: Model) -> DataFrame:
 
 def missing_dates(model: Model) -> DataFrame:
     columns = {"no_approved": APPROVED, "no_carrier": CARRIER, "no_delivered": RECEIVED}
-    return profile.null_profile(model["orders"], "order_status", columns).orderBy(F.desc("orders_count"), "order_status")
+    missing = profile.null_profile(model["orders"], "order_status", columns)
+    return missing.orderBy(F.desc("orders_count"), "order_status")
 
 
 def delivered_without_date(model: Model) -> DataFrame:

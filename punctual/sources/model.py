@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame
 from punctual.fixed_values import (
     BASELINE_MONTH,
     EXPECTED_ROWS,
-    PEAK_MONTH,
     STAGE_PERIOD,
     TAIL_START,
     WORKING_PERIOD,
@@ -26,7 +25,6 @@ class Calendar:
     period: Period = WORKING_PERIOD
     stages: Period = STAGE_PERIOD
     tail: date = TAIL_START
-    peak: date = PEAK_MONTH
     baseline: date = BASELINE_MONTH
 
 

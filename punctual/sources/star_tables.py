@@ -38,7 +38,6 @@ STAR_CALENDAR = Calendar(
     period=Period(date(1995, 3, 1), date(2001, 8, 1)),
     stages=Period(date(1997, 12, 1), date(1998, 5, 1)),
     tail=date(2001, 8, 1),
-    peak=date(1998, 11, 1),
     baseline=date(1998, 10, 1),
 )
 

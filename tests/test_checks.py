@@ -1,5 +1,3 @@
-from functools import reduce
-
 from punctual.operators import constraints, profile
 from punctual.plans import quality
 from punctual.sources.model import Model
@@ -81,7 +79,9 @@ def test_row_counts_say_what_is_missing(spark):
 
 def test_sample_arithmetic_looks_at_undated_orders_for_the_last_purchase(tables):
     model = Model({"orders": tables["orders"](
-        order("a"), order("old", purchase="2016-12-01 00:00"), order("undated", purchase="2018-08-01 00:00", received=None)
+        order("a"),
+        order("old", purchase="2016-12-01 00:00"),
+        order("undated", purchase="2018-08-01 00:00", received=None),
     )}.__getitem__)
     row = quality.sample_arithmetic(model).first()
     assert (row.delivered_ok, row.before_period, row.last_purchase.month) == (2, 1, 8)

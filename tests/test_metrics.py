@@ -31,8 +31,10 @@ def test_cushion_rounds_before_subtracting(spark):
 
 
 def test_unscored_group(spark):
-    frame = spark.createDataFrame([("s", True, 3, 2, None)],
-                                  "customer_state string, is_late boolean, delivery_days int, promise_days int, review_score int")
+    frame = spark.createDataFrame(
+        [("s", True, 3, 2, None)],
+        "customer_state string, is_late boolean, delivery_days int, promise_days int, review_score int",
+    )
     row = metrics.sla_summary(frame, "customer_state", scored=True).first()
     assert (row.reviews_count, row.avg_review_score, row.median_review_score) == (0, None, None)
 
