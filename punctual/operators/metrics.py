@@ -46,6 +46,7 @@ def delivery_measures() -> list[Column]:
 
 
 def overview(sample: DataFrame) -> DataFrame:
+    """One row: size, lateness and spread of the delivery time."""
     return sample.agg(
         *delivery_measures(),
         mean(F.col("delivery_days")).alias("avg_delivery_days"),

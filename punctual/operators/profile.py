@@ -111,8 +111,8 @@ def repeat_pattern(df: DataFrame, key: str, within: str, several: str = SEVERAL_
                    same: str = SAME_ORDER) -> DataFrame:
     """Repeated keys, by whether their rows have several different values of ``within``.
 
-    Only "more than one value" matters, and that is min < max: two fixed-size buffers
-    instead of a set of values per key.
+    Only "more than one value" matters, and that is min < max: two values kept per key,
+    and one shuffle, where counting distinct values takes two.
     """
     return (
         df.groupBy(key)

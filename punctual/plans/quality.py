@@ -30,25 +30,30 @@ def _broken_stages() -> list[Column]:
 
 
 def row_counts(model: Model) -> DataFrame:
+    """Rows of each table beside the number expected after a full load."""
     return profile.row_counts({table: model[table] for table in model.tables}, model.expected)
 
 
 def purchase_span(model: Model) -> DataFrame:
+    """First and last purchase date."""
     return profile.date_span(model["orders"], PURCHASE, "first_order", "last_order")
 
 
 def status_shares(model: Model) -> DataFrame:
+    """Orders per status and their share."""
     shares = profile.value_shares(model["orders"], "order_status", "orders", "share_pct")
     return shares.orderBy(F.desc("orders"), "order_status")
 
 
 def missing_dates(model: Model) -> DataFrame:
+    """Dates missing per status: a status fills the dates up to its own step."""
     columns = {"no_approved": APPROVED, "no_carrier": CARRIER, "no_delivered": RECEIVED}
     missing = profile.null_profile(model["orders"], "order_status", columns)
     return missing.orderBy(F.desc("orders_count"), "order_status")
 
 
 def delivered_without_date(model: Model) -> DataFrame:
+    """Delivered orders that lack a delivery date."""
     return (
         _delivered(model["orders"])
         .filter(F.col(RECEIVED).isNull())
@@ -58,6 +63,7 @@ def delivered_without_date(model: Model) -> DataFrame:
 
 
 def date_order(model: Model) -> DataFrame:
+    """Steps recorded before the step they follow, over all orders."""
     rules = [
         Order("approved_to_purchase", PURCHASE, APPROVED, "approved_count"),
         Order("carrier_to_approved", APPROVED, CARRIER, "carrier_count"),
@@ -69,6 +75,7 @@ def date_order(model: Model) -> DataFrame:
 
 
 def date_order_by_status(model: Model) -> DataFrame:
+    """The two stage violations per status."""
     return (
         model["orders"]
         .groupBy("order_status")
@@ -78,6 +85,7 @@ def date_order_by_status(model: Model) -> DataFrame:
 
 
 def date_order_before_period(model: Model) -> DataFrame:
+    """The same among dated deliveries bought before the period."""
     start = model.calendar.period.start
     early = _delivered(model.orders_near(end=start)).filter(
         F.col(RECEIVED).isNotNull() & (F.col(PURCHASE) < F.lit(start).cast("timestamp_ntz"))
@@ -104,10 +112,12 @@ def review_repeats(model: Model) -> DataFrame:
 
 
 def repeat_pattern(model: Model) -> DataFrame:
+    """Whether a repeated review id spans several orders."""
     return profile.repeat_pattern(model["order_reviews"], "review_id", "order_id")
 
 
 def orders_by_month(model: Model) -> DataFrame:
+    """Orders per purchase month, whatever their status."""
     return (
         model["orders"]
         .groupBy(month_of(F.col(PURCHASE)).alias("month"))
@@ -117,6 +127,7 @@ def orders_by_month(model: Model) -> DataFrame:
 
 
 def tail_orders(model: Model) -> DataFrame:
+    """Orders bought after the period, whole."""
     tail = model.calendar.tail
     return (
         model.orders_near(start=tail)
@@ -126,10 +137,12 @@ def tail_orders(model: Model) -> DataFrame:
 
 
 def shipped_total(model: Model) -> DataFrame:
+    """Orders that never got past shipping."""
     return _shipped(model["orders"]).agg(F.count("*").alias("shipped_orders"))
 
 
 def shipped_in_period(model: Model) -> DataFrame:
+    """The same, bought in the period."""
     period = model.calendar.period
     orders = model.orders_near(period.start, period.end).filter(bought_in(period.start, period.end))
     return _shipped(orders).agg(F.count("*").alias("shipped_orders"))
@@ -149,6 +162,7 @@ def stuck_age(model: Model) -> DataFrame:
 
 
 def stuck_by_year(model: Model) -> DataFrame:
+    """Orders stuck in shipping per purchase year."""
     return (
         _shipped(model["orders"])
         .groupBy(F.year(PURCHASE).alias("year"))
@@ -180,6 +194,7 @@ def anomalous_delivered(model: Model) -> DataFrame:
 
 
 def period_share(model: Model) -> DataFrame:
+    """Orders inside and outside the working period."""
     period = model.calendar.period
     inside = F.count_if(bought_in(period.start, period.end))
     return model["orders"].agg(
@@ -191,6 +206,7 @@ def period_share(model: Model) -> DataFrame:
 
 
 def estimate_completeness(model: Model) -> DataFrame:
+    """Orders that have an estimated date."""
     estimate = F.col("order_estimated_delivery_date")
     return model["orders"].agg(F.count("*").alias("orders_count"), F.count(estimate).alias("with_estimate"))
 
@@ -210,6 +226,7 @@ def median_month_volume(model: Model) -> DataFrame:
 
 
 def tail_statuses(model: Model) -> DataFrame:
+    """Status mix of the orders after the period."""
     tail = model.calendar.tail
     return (
         model.orders_near(start=tail)

@@ -22,11 +22,13 @@ def with_review(model: Model, how: str) -> DataFrame:
 
 
 def score_shares(model: Model) -> DataFrame:
+    """Orders per score; those without a review come last."""
     shares = profile.value_shares(with_review(model, "left"), "review_score")
     return shares.orderBy(F.asc_nulls_last("review_score"))
 
 
 def scores_by_lateness(model: Model) -> DataFrame:
+    """Scores of late and punctual orders."""
     return metrics.score_summary(with_review(model, "inner"), "is_late")
 
 
@@ -36,6 +38,7 @@ def _on_time_buckets(model: Model) -> DataFrame:
 
 
 def scores_by_bucket(model: Model) -> DataFrame:
+    """Scores of punctual orders per delivery-time bucket."""
     summary = metrics.score_summary(_on_time_buckets(model), "bucket_no", median_digits=2).orderBy("bucket_no")
     return summary.withColumn("bucket_no", DELIVERY_BUCKETS.label(F.col("bucket_no"))).withColumnRenamed(
         "bucket_no", "bucket"
@@ -53,10 +56,12 @@ def _bad_share(scored: DataFrame, by: str) -> DataFrame:
 
 
 def bad_by_lateness(model: Model) -> DataFrame:
+    """Share of bad reviews of late and punctual orders."""
     return _bad_share(with_review(model, "inner"), "is_late")
 
 
 def bad_by_bucket(model: Model) -> DataFrame:
+    """Share of bad reviews of punctual orders per delivery-time bucket."""
     label = DELIVERY_BUCKETS.label(F.col("bucket_no")).alias("bucket")
     return (
         _bad_share(_on_time_buckets(model), "bucket_no")

@@ -46,6 +46,7 @@ def month_sheet(model: Model, partial_from: date | None = None) -> DataFrame:
 
 
 def state_sheet(model: Model) -> DataFrame:
+    """Summary per state, largest first."""
     summary = metrics.sla_summary(with_review(model, "left"), "customer_state", scored=True)
     return summary.orderBy(F.desc("orders_count"), F.asc("customer_state"))
 

@@ -31,41 +31,50 @@ def sample(model: Model, within: Period | None = None) -> DataFrame:
 
 
 def view(model: Model) -> DataFrame:
+    """The sample with the columns of the SQL view."""
     return sample(model).select(*VIEW_COLUMNS)
 
 
 def view_check(model: Model) -> DataFrame:
+    """Control counts of the sample."""
     return metrics.sample_check(sample(model))
 
 
 def overview(model: Model) -> DataFrame:
+    """Size, lateness and delivery time of the whole sample."""
     return metrics.overview(sample(model))
 
 
 def delivery_histogram(model: Model) -> DataFrame:
+    """Orders per delivery-time bucket."""
     buckets = histogram(sample(model), "delivery_days", DELIVERY_BUCKETS).orderBy("bucket_no")
     return buckets.select("bucket", "orders", "pct", "cum_pct")
 
 
 def lateness_histogram(model: Model) -> DataFrame:
+    """Late orders per bucket of days late."""
     buckets = histogram_of_part(sample(model), "days_vs_estimate", LATENESS_BUCKETS, "is_late")
     return buckets.orderBy("bucket_no").drop("bucket_no")
 
 
 def buffer(model: Model) -> DataFrame:
+    """Days to spare of the orders that were on time."""
     return metrics.buffer(sample(model))
 
 
 def by_month(model: Model) -> DataFrame:
+    """SLA measures per purchase month, with the cushion of the promise."""
     summary = metrics.sla_summary(sample(model), "purchase_month", promise_digits=None, cushion=True)
     return summary.orderBy("purchase_month")
 
 
 def promise_cut(model: Model) -> DataFrame:
+    """What cutting the promise by one to seven days would cost."""
     return metrics.promise_cut(sample(model))
 
 
 def stages(model: Model) -> DataFrame:
+    """90th percentile of each stage per month."""
     months = model.calendar.stages
     return metrics.stage_breakdown(sample(model, months), months).orderBy("purchase_month")
 
@@ -74,6 +83,7 @@ def stages(model: Model) -> DataFrame:
 
 
 def days_late(model: Model) -> DataFrame:
+    """How late the late orders are."""
     late = percentile(F.col("days_vs_estimate"), 0.5, 0.9)
     return sample(model).filter("is_late").agg(
         rounded(late[0], 2).alias("median_days_late"),
@@ -83,6 +93,7 @@ def days_late(model: Model) -> DataFrame:
 
 
 def promise_days(model: Model) -> DataFrame:
+    """Length of the promise."""
     promise = percentile(F.col("promise_days"), 0.5, 0.9)
     return sample(model).agg(
         rounded(promise[0], 2).alias("median_promise_days"), rounded(promise[1], 2).alias("p90_promise_days")
@@ -177,6 +188,7 @@ def marginal_cut(model: Model, rows: int = 7) -> DataFrame:
 
 
 def slowest_by_month(model: Model, point: float = 0.97) -> DataFrame:
+    """Delivery time that nearly all orders of a month kept."""
     return (
         sample(model)
         .groupBy("purchase_month")
@@ -209,6 +221,7 @@ def excess_late(model: Model) -> DataFrame:
 
 
 def volume_ratio(model: Model) -> DataFrame:
+    """Orders of a month against the month before, beside its late share."""
     previous = F.lag("orders_count").over(Window.orderBy("purchase_month"))
     return (
         _monthly(model)
@@ -273,4 +286,5 @@ def transit_dominates(model: Model, min_share: float = 0.5) -> DataFrame:
 
 
 def buffer_by_state(model: Model) -> DataFrame:
+    """Days to spare per state."""
     return metrics.buffer(sample(model), "customer_state").orderBy("customer_state")

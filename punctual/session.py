@@ -16,11 +16,16 @@ SETTINGS = {
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """The shared folder that the cluster names for intermediate tables."""
+    """The shared folder that the cluster names for intermediate tables.
+
+    Only a local session, whose tasks all see the same disk, may do without the setting.
+    """
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        raise ValueError("spark.checkpoint.dir is not set; pass a path on shared storage")
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    if spark.sparkContext.master.startswith("local"):
+        return tempfile.gettempdir() + "/punctual"
+    raise ValueError("spark.checkpoint.dir is not set; pass a path on shared storage")
 
 
 def local_session(cores: int | str = "*", **settings: str) -> SparkSession:
@@ -34,7 +39,6 @@ def local_session(cores: int | str = "*", **settings: str) -> SparkSession:
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", os.environ.get("PUNCTUAL_DRIVER_MEMORY", "8g"))
         .config("spark.sql.shuffle.partitions", "8")
-        .config("spark.checkpoint.dir", tempfile.gettempdir() + "/punctual-checkpoints")
     )
     for name, value in {**SETTINGS, **settings}.items():
         builder = builder.config(name, value)
