@@ -8,7 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from punctual.llm.bpe import encoded
+from punctual.llm import language
+from punctual.llm.decontaminate import contained_items
+from punctual.llm.html_text import main_text
 from punctual.llm.jaccard_join import similar_documents
+from punctual.llm.pii import pseudonymised
+from punctual.llm.quality import quality
+from punctual.llm.secrets import secrets
 from punctual.llm.toxicity import held_out, toxicity, trained
 
 
@@ -16,6 +22,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
@@ -24,6 +34,18 @@ def op3_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(documents(spark, sf_dir))
 
 
+def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymised(documents(spark, sf_dir)).select("doc_id", "text")
+
+
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(documents(spark, sf_dir))
+
+
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -32,8 +54,28 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted", "evidence")
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return found.drop("n_lines")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language.trained(docs, ~held_out(F.col("doc_id")))
+    found = language.languages(docs, model)
+    return found.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_bpe_encoding": op3_bpe_encoding,
+    "op4_pii_pseudonyms": op4_pii_pseudonyms,
+    "op5_secret_scans": op5_secret_scans,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_toxicity": op7_toxicity,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_language_id": op9_language_id,
 }
+
+STATEMENTS: dict[str, str] = {}
