@@ -377,10 +377,9 @@ def similar_documents(docs: DataFrame) -> DataFrame:
 def one_per_group(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` of each component's smallest doc_id, all columns as they were.
 
-    Rows without shingles stay. Repeated rows of the id that stays, stay only once; rows with a
-    null doc_id stay, as they can't be told apart.
+    Rows without shingles stay. Rows that repeat both id and text stay once; rows with a null
+    doc_id stay, as they can't be told apart.
     """
-    found = similar_documents(docs)
-    keep = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept_id")).agg(F.count("*").alias("_rows"))
+    keep = similar_documents(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
     kept = docs.join(keep, docs["doc_id"] == keep["_kept_id"], "left_semi")
-    return kept.unionByName(docs.where("doc_id is null"))
+    return kept.dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id is null"))

@@ -268,6 +268,22 @@ def toxicity(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
     return found.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
+def _harmless(model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = pickle.loads(model.value)
+        known = _Known(own.terms)
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            yield batch.filter(pa.array([own.score(known.counts(text))[0] < THRESHOLD for text in texts], pa.bool_()))
+
+    return run
+
+
+def harmless(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, all columns as they were."""
+    return docs.mapInArrow(_harmless(sent(docs.sparkSession, model)), docs.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that never teach: crc32 of the id as text, modulo 4, is 2."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
