@@ -5,7 +5,8 @@
    those of two sets or more go back to their sets. Shingles of one set alone come first in the
    rare-first order and can join nothing, so a set with a quarter of such shingles is done.
 3. ``_links``: prefixes meet by shingle. A bucket first pairs each member with its first and last
-   member; the pairs found make provisional groups. Then only members of different groups are
+   member; the pairs found make provisional groups. A few rounds pair the members of a bucket's
+   lesser groups with a member of its largest, drawn by lot. Then all members of different groups are
    paired, from the bucket's lesser groups outwards, so a bucket of one large group costs
    nothing more. Length and position are tested in the join, the suffix on distinct pairs, and
    each pair that remains is verified once on the whole sets.
@@ -36,6 +37,8 @@ HOT_SHARE = 2000
 HOT_IN_TASK = 8
 #: Shingles that a block of a map task holds, and that a code range is planned for.
 BLOCK, RANGE = 1 << 20, 1 << 21
+#: Rounds in which groups meet by a member drawn by lot before all that is left is paired.
+ROUNDS = 6
 #: Cells of the histogram that the suffix filter compares.
 CELLS = 64
 
@@ -280,8 +283,12 @@ def shared_sets(docs: DataFrame, profile: DataFrame) -> DataFrame:
 def _fits(a: str, b: str):
     """Length and position allow the pair to reach the similarity."""
     overlap = F.least(F.col(f"{a}.n") - F.col(f"{a}.pos"), F.col(f"{b}.n") - F.col(f"{b}.pos"))
-    lengths = 4 * F.least(f"{a}.n", f"{b}.n") >= 3 * F.greatest(f"{a}.n", f"{b}.n")
-    return lengths & (7 * overlap >= 3 * (F.col(f"{a}.n") + F.col(f"{b}.n")))
+    return _lengths(a, b) & (7 * overlap >= 3 * (F.col(f"{a}.n") + F.col(f"{b}.n")))
+
+
+def _lengths(a: str, b: str):
+    """The sizes of the sets allow it."""
+    return 4 * F.least(f"{a}.n", f"{b}.n") >= 3 * F.greatest(f"{a}.n", f"{b}.n")
 
 
 def _overlapping(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,18 +343,48 @@ def _links(sets: DataFrame) -> DataFrame:
         for end in ("first", "last")
     ]
     near = stored(_verified(ends[0].unionByName(ends[1]), sets), "near")
-    groups = stored(components(near).toDF("id", "root"), "groups")
-    grouped = postings.join(groups, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    sizes = grouped.groupBy("token", "root").count()
-    mixed = sizes.groupBy("token").agg(F.max(F.struct("count", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
-    mixed = stored(grouped.join(mixed.select("token", F.col("most.root").alias("most")), "token"), "mixed")
-    left = mixed.where("root <> most").alias("x")
-    pairs = left.join(mixed.alias("y"), "token").where(
+    grouped = _grouped(postings, near)
+    for turn in range(ROUNDS):
+        met = grouped.withColumn("own", entry).join(_mixed(grouped, turn), "token").where(F.col("root") != F.col("most.root"))
+        pairs = met.where(_fits("own", "most.head")).select(F.col("id").alias("a"), F.col("most.head.id").alias("b"))
+        more = stored(_verified(pairs, sets), "more")
+        if not more.isEmpty():
+            near = stored(near.unionByName(more), "near")
+            grouped = _grouped(postings, near)
+    mixed = stored(grouped.join(_mixed(grouped, ROUNDS).select("token", F.col("most.root").alias("most")), "token"), "mixed")
+    met = mixed.where("root <> most").alias("x").join(mixed.alias("y"), "token").where(
         "x.root <> y.root and (y.root = y.most or x.id < y.id)"
-    ).where(_fits("x", "y")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    ).where(_lengths("x", "y"))
+    # All prefix shingles that two sets share meet in these buckets. Of the others, the set whose
+    # prefix ends first in the order can only hold those behind its prefix.
+    rest = F.greatest(_needed("x"), _needed("y")) - 1
+    pairs = met.groupBy(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).agg(
+        F.max(_fits("x", "y")).alias("fits"), (F.count("*") + F.first(rest)).alias("most"), F.first(F.col("x.n") + F.col("y.n")).alias("sizes")
+    ).where("fits and 7 * most >= 3 * sizes")
     return near.unionByName(_verified(pairs, sets))
 
 
+def _needed(side: str):
+    """Shingles of a set that a similar one must share: three quarters, rounded up."""
+    return F.floor((3 * F.col(f"{side}.n") + 3) / 4)
+
+
+def _grouped(postings: DataFrame, links: DataFrame) -> DataFrame:
+    """Postings with the ``root`` of the group that the links so far put their set in."""
+    groups = stored(components(links).toDF("id", "root"), "groups")
+    return postings.join(groups, "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+
+def _mixed(grouped: DataFrame, turn: int) -> DataFrame:
+    """Buckets of more than one group, with the largest (``most``: its size, root and ``head``).
+
+    The head is a member drawn by lot, another in each turn; so are groups of one size.
+    """
+    lot = lambda name: F.xxhash64(name, F.lit(turn)).alias("lot")
+    sizes = grouped.groupBy("token", "root").agg(F.count("*").alias("size"), F.min(F.struct(lot("id"), "id", "n", "pos")).alias("head"))
+    return sizes.groupBy("token").agg(F.max(F.struct("size", lot("root"), "root", "head")).alias("most"), F.count("*").alias("groups")).where("groups > 1").drop("groups")
+
+
 def similar_documents(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` and the key ``set_key`` of each row's set.
 
