@@ -28,8 +28,8 @@ from punctual.llm.store import sent
 #: Labelled rows that train at most, picked by a hash of the id; more rows change no other bound.
 SAMPLE = 12_000
 #: Terms kept; how many times likelier the toxic class must make a term; and the evidence that
-#: takes, as its toxic examples times the log of that (10 is chance in one of some 20,000 terms).
-TERMS, LIFT, EVIDENCE = 4096, 4.0, 8.0
+#: takes, as its toxic examples times the log of that (20 is some five examples and no other).
+TERMS, LIFT, EVIDENCE = 4096, 4.0, 20.0
 #: Lengths of the word beginnings that count as terms.
 STEMS = (3, 4, 5, 6, 7, 8)
 #: Neighbours that vote, and examples of a block.
@@ -131,7 +131,7 @@ class Index:
         return terms, weights / size if size > 0 else weights
 
     def nearest(self, counts: dict[int, int], without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Example numbers and cosines of the nearest, ties to the lower number."""
+        """Example numbers and cosines of the nearest, ties to the lower number (examples are numbered by heaviest term, then id)."""
         terms, weights = self.weighted(counts)
         if not self.blocks:
             return np.empty(0, np.int64), np.empty(0)
@@ -189,8 +189,10 @@ class Model:
         self.prior = float(labels.mean()) if len(rows) else 0.0
         plain = np.array([row[1] for row in rows if not row[2] and calibrates(row[0])], np.float64)
         self.plain = float((plain.sum() + 0.01) / (len(plain) + 1))
-        told = [row for row in rows if row[2]]
-        self.index = Index(np.asarray(idf, np.float64), [r[0] for r in told], [r[1] for r in told], [r[2] for r in told])
+        # Examples that share their heaviest term share blocks, which tightens the blocks' bounds.
+        idf = np.asarray(idf, np.float64)
+        told = sorted((row for row in rows if row[2]), key=lambda row: max((n * idf[t], t) for t, n in row[2].items())[1])
+        self.index = Index(idf, [r[0] for r in told], [r[1] for r in told], [r[2] for r in told])
         own = [i for i, row in enumerate(told) if calibrates(row[0])]
         votes = [self.index.vote(*self.index.nearest(told[i][2], without=i), self.prior) for i in own]
         if own:
@@ -256,7 +258,7 @@ def toxicity(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
     """Columns ``keep`` (doc_id if not given) with ``score``, ``predicted`` and ``evidence``.
 
     Only the text decides. A text without selected terms, a null or an empty one gets the score
-    of such examples and no evidence. Examples at the same cosine count in order of their id.
+    of such examples and no evidence. Of examples at the same cosine, those count that the index holds first.
     Repeated rows score alike; null ids are returned; an empty table gives no rows. Without
     labels every score is that of no evidence, near 0.
     """
