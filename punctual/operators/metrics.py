@@ -155,7 +155,6 @@ def stage_breakdown(sample: DataFrame, months: Period, point: float = 0.9) -> Da
             "p90_transit_days": F.when(received >= carrier, micros(carrier, received)),
         },
         point,
-        max_groups=months.months(),
     )
     by_month = stages.groupBy("purchase_month").agg(*(
         rounded(F.max(F.when(F.col("measure") == name, F.col("value"))) / F.lit(float(DAY)), 2).alias(name)

@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 
 from punctual.functions.times import DAY, SECOND
 
-# Most rows a broadcast side may have, by a bound known beforehand.
-BROADCAST_ROWS = 100_000
-
 
 def percentile(column: Column, *points: float) -> Column:
     """Aggregate giving one value per point, as an array; for values of a bounded range."""
@@ -29,7 +26,6 @@ def group_percentile(
     measures: Mapping[str, Column],
     point: float,
     widths: Sequence[int] = (DAY, SECOND),
-    max_groups: int | None = None,
 ) -> DataFrame:
     """One percentile of several whole-number measures per group; NULLs are skipped.
 
@@ -38,11 +34,9 @@ def group_percentile(
     task ranks at most the cells of one parent cell, so no group, however many rows and
     values it has, is gathered in one place, and only counts are shuffled.
 
-    The cells sought are at most two per group and measure. They are broadcast only when
-    ``max_groups``, a bound the caller knows, keeps them few; otherwise Spark picks the
-    join. The passes read the same columns, so they share the shuffles of ``df``.
+    The cells sought are at most two per group and measure; Spark picks the join by their
+    size. The passes read the same columns, so they share the shuffles of ``df``.
     """
-    few = max_groups is not None and 2 * max_groups * len(measures) <= BROADCAST_ROWS
     rows = (
         df.select(
             F.col(key),
@@ -77,7 +71,7 @@ def group_percentile(
             (F.col("upto") - F.col("n")).alias("before"),
         )
         narrowed = rows.join(
-            F.broadcast(targets) if few else targets,
+            targets,
             F.col(key).eqNullSafe(F.col("sought_key"))
             & (F.col("measure") == F.col("sought_measure"))
             & (cell(outer) == F.col("parent")),

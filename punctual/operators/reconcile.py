@@ -13,10 +13,12 @@ from punctual.operators.histogram import all_rows
 
 
 def totals(sheet: DataFrame) -> DataFrame:
-    """Orders and late orders of a summary that has a row per group."""
+    """Orders and late orders of a summary that has a row per group; zero of an empty one."""
     return sheet.agg(
-        F.sum("orders_count").cast("bigint").alias("orders_count"),
-        F.sum("late_orders_count").cast("bigint").alias("late_orders_count"),
+        *(
+            F.coalesce(F.sum(column), F.lit(0)).cast("bigint").alias(column)
+            for column in ("orders_count", "late_orders_count")
+        )
     )
 
 
@@ -36,9 +38,10 @@ def reconcile(checks: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def compare(stacked: DataFrame) -> DataFrame:
-    """``agree`` is true where every row has the same two totals."""
+    """``agree`` is true where every row has the same two totals, none of them NULL."""
     same = [
-        F.min(column).over(all_rows()) == F.max(column).over(all_rows())
+        (F.min(column).over(all_rows()) == F.max(column).over(all_rows()))
+        & (F.count(column).over(all_rows()) == F.count("*").over(all_rows()))
         for column in ("orders_count", "late_orders_count")
     ]
     return stacked.select(
@@ -46,7 +49,7 @@ def compare(stacked: DataFrame) -> DataFrame:
         "orders_count",
         "late_orders_count",
         share(F.col("late_orders_count"), F.col("orders_count")).alias("late_orders_pct"),
-        (same[0] & same[1]).alias("agree"),
+        F.coalesce(same[0] & same[1], F.lit(False)).alias("agree"),
     )
 
 
@@ -68,7 +71,8 @@ def reconcile_sheets(joined: DataFrame, sample: DataFrame, month: str = "purchas
     levels = {"flat table of orders": 3, "total by month": 1, "total by state": 2}
 
     def total(column: str, level: int):
-        return F.sum(F.when(F.col("level") == level, F.col(column))).cast("bigint").alias(column)
+        counted = F.sum(F.when(F.col("level") == level, F.col(column)))
+        return F.coalesce(counted, F.lit(0)).cast("bigint").alias(column)
 
     summed = groups.agg(F.array(*(
         F.struct(

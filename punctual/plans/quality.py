@@ -42,14 +42,14 @@ def purchase_span(model: Model) -> DataFrame:
 def status_shares(model: Model) -> DataFrame:
     """Orders per status and their share."""
     shares = profile.value_shares(model["orders"], "order_status", "orders", "share_pct")
-    return shares.orderBy(F.desc("orders"), "order_status")
+    return shares.orderBy(F.desc("orders"), F.asc_nulls_last("order_status"))
 
 
 def missing_dates(model: Model) -> DataFrame:
     """Dates missing per status: a status fills the dates up to its own step."""
     columns = {"no_approved": APPROVED, "no_carrier": CARRIER, "no_delivered": RECEIVED}
     missing = profile.null_profile(model["orders"], "order_status", columns)
-    return missing.orderBy(F.desc("orders_count"), "order_status")
+    return missing.orderBy(F.desc("orders_count"), F.asc_nulls_last("order_status"))
 
 
 def delivered_without_date(model: Model) -> DataFrame:
@@ -80,7 +80,7 @@ def date_order_by_status(model: Model) -> DataFrame:
         model["orders"]
         .groupBy("order_status")
         .agg(F.count("*").alias("orders"), *_broken_stages())
-        .orderBy(F.desc("handover_bad"), "order_status")
+        .orderBy(F.desc("handover_bad"), F.asc_nulls_last("order_status"))
     )
 
 
@@ -122,7 +122,7 @@ def orders_by_month(model: Model) -> DataFrame:
         model["orders"]
         .groupBy(month_of(F.col(PURCHASE)).alias("month"))
         .agg(F.count("*").alias("orders_count"))
-        .orderBy("month")
+        .orderBy(F.asc_nulls_last("month"))
     )
 
 
@@ -167,7 +167,7 @@ def stuck_by_year(model: Model) -> DataFrame:
         _shipped(model["orders"])
         .groupBy(F.year(PURCHASE).alias("year"))
         .agg(F.count("*").alias("shipped_orders"))
-        .orderBy("year")
+        .orderBy(F.asc_nulls_last("year"))
     )
 
 
@@ -233,7 +233,7 @@ def tail_statuses(model: Model) -> DataFrame:
         .filter(F.col(PURCHASE) >= F.lit(tail).cast("timestamp_ntz"))
         .groupBy("order_status")
         .agg(F.count("*").alias("orders_count"))
-        .orderBy(F.desc("orders_count"), "order_status")
+        .orderBy(F.desc("orders_count"), F.asc_nulls_last("order_status"))
     )
 
 

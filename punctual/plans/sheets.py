@@ -14,7 +14,7 @@ from punctual.operators import metrics, reconcile
 from punctual.plans.prepared import prepare
 from punctual.plans.reviews import with_review
 from punctual.plans.sla import sample
-from punctual.sources.files import write_sheet
+from punctual.sources.files import check_format, read_sheet, write_sheet
 from punctual.sources.model import Model
 
 SHEET_BUCKETS = Buckets(suffix=SHEET_SUFFIX)
@@ -42,18 +42,22 @@ def month_sheet(model: Model, partial_from: date | None = None) -> DataFrame:
     summary = metrics.sla_summary(with_review(model, "left"), "purchase_month", cushion=True, scored=True)
     if partial_from is not None:
         summary = summary.withColumn("is_partial_month", F.col("purchase_month") >= F.lit(partial_from))
-    return summary.orderBy("purchase_month")
+    return summary.orderBy(F.asc_nulls_last("purchase_month"))
 
 
 def state_sheet(model: Model) -> DataFrame:
     """Summary per state, largest first."""
     summary = metrics.sla_summary(with_review(model, "left"), "customer_state", scored=True)
-    return summary.orderBy(F.desc("orders_count"), F.asc("customer_state"))
+    return summary.orderBy(F.desc("orders_count"), F.asc_nulls_last("customer_state"))
 
 
 def reconciliation(model: Model) -> DataFrame:
-    """Totals computed four ways; the first three share one join."""
-    return reconcile.reconcile_sheets(with_review(model, "left"), sample(model))
+    """Totals computed four ways; the first three share one join.
+
+    The last counts the orders themselves, also where the sample is prepared, as a prepared
+    sample would only be compared with itself.
+    """
+    return reconcile.reconcile_sheets(with_review(model, "left"), sample(replace(model, prepared=None)))
 
 
 def export(model: Model, path: str, fmt: str = "csv") -> DataFrame:
@@ -63,16 +67,13 @@ def export(model: Model, path: str, fmt: str = "csv") -> DataFrame:
     share its joins. Totals are read back from the sheets' files, and the sample is
     counted from the orders again.
     """
+    check_format(fmt)
     spark = model["orders"].sparkSession
     ready = model if model.prepared is not None else prepare(model, f"{path}/sample")
     sheets = {"orders": order_sheet(ready), "months": month_sheet(ready), "states": state_sheet(ready)}
     for name, sheet in sheets.items():
         write_sheet(sheet, f"{path}/{name}", fmt, one_file=name != "orders")
-    reader = spark.read if fmt == "parquet" else spark.read.option("header", True)
-    written = {
-        name: (reader.parquet if fmt == "parquet" else reader.schema(sheet.schema).csv)(f"{path}/{name}")
-        for name, sheet in sheets.items()
-    }
+    written = {name: read_sheet(spark, sheet.schema, f"{path}/{name}", fmt) for name, sheet in sheets.items()}
     return reconcile.reconcile({
         "flat table of orders": reconcile.order_totals(written["orders"]),
         "total by month": reconcile.totals(written["months"]),

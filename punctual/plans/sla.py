@@ -65,7 +65,7 @@ def buffer(model: Model) -> DataFrame:
 def by_month(model: Model) -> DataFrame:
     """SLA measures per purchase month, with the cushion of the promise."""
     summary = metrics.sla_summary(sample(model), "purchase_month", promise_digits=None, cushion=True)
-    return summary.orderBy("purchase_month")
+    return summary.orderBy(F.asc_nulls_last("purchase_month"))
 
 
 def promise_cut(model: Model) -> DataFrame:
@@ -76,7 +76,7 @@ def promise_cut(model: Model) -> DataFrame:
 def stages(model: Model) -> DataFrame:
     """90th percentile of each stage per month."""
     months = model.calendar.stages
-    return metrics.stage_breakdown(sample(model, months), months).orderBy("purchase_month")
+    return metrics.stage_breakdown(sample(model, months), months).orderBy(F.asc_nulls_last("purchase_month"))
 
 
 # --- Figures the analysis quotes without a query of their own ----------------
@@ -193,7 +193,7 @@ def slowest_by_month(model: Model, point: float = 0.97) -> DataFrame:
         sample(model)
         .groupBy("purchase_month")
         .agg(rounded(percentile(F.col("delivery_days"), point)[0], 2).alias("p97_delivery_days"))
-        .orderBy("purchase_month")
+        .orderBy(F.asc_nulls_last("purchase_month"))
     )
 
 
@@ -216,13 +216,13 @@ def excess_late(model: Model) -> DataFrame:
     return (
         _monthly(model)
         .withColumn("excess_late", F.round(F.col("late_orders_count") - expected, 0).cast("bigint"))
-        .orderBy("purchase_month")
+        .orderBy(F.asc_nulls_last("purchase_month"))
     )
 
 
 def volume_ratio(model: Model) -> DataFrame:
     """Orders of a month against the month before, beside its late share."""
-    previous = F.lag("orders_count").over(Window.orderBy("purchase_month"))
+    previous = F.lag("orders_count").over(Window.orderBy(F.asc_nulls_last("purchase_month")))
     return (
         _monthly(model)
         .select(
@@ -231,7 +231,7 @@ def volume_ratio(model: Model) -> DataFrame:
             ratio(F.col("orders_count"), previous).alias("to_previous"),
             share(F.col("late_orders_count"), F.col("orders_count")).alias("late_orders_pct"),
         )
-        .orderBy("purchase_month")
+        .orderBy(F.asc_nulls_last("purchase_month"))
     )
 
 
@@ -245,7 +245,7 @@ def late_spread(model: Model) -> DataFrame:
 
 def state_concentration(model: Model) -> DataFrame:
     """States by size, with the cumulative share of orders."""
-    largest_first = [F.desc("orders_count"), F.asc("customer_state")]
+    largest_first = [F.desc("orders_count"), F.asc_nulls_last("customer_state")]
     return (
         sample(model)
         .groupBy("customer_state")
@@ -264,7 +264,7 @@ def order_weight(model: Model) -> DataFrame:
         .groupBy("customer_state")
         .agg(F.count("*").alias("orders_count"))
         .withColumn("points_per_order", share(F.lit(1), F.col("orders_count"), 4))
-        .orderBy("customer_state")
+        .orderBy(F.asc_nulls_last("customer_state"))
     )
 
 
@@ -287,4 +287,4 @@ def transit_dominates(model: Model, min_share: float = 0.5) -> DataFrame:
 
 def buffer_by_state(model: Model) -> DataFrame:
     """Days to spare per state."""
-    return metrics.buffer(sample(model), "customer_state").orderBy("customer_state")
+    return metrics.buffer(sample(model), "customer_state").orderBy(F.asc_nulls_last("customer_state"))

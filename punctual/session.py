@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -18,13 +17,10 @@ SETTINGS = {
 def scratch_folder(spark: SparkSession) -> str:
     """The shared folder that the cluster names for intermediate tables.
 
-    Only a local session, whose tasks all see the same disk, may do without the setting.
     """
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        return tempfile.gettempdir() + "/punctual"
     raise ValueError("spark.checkpoint.dir is not set; pass a path on shared storage")
 
 

@@ -12,8 +12,12 @@ DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(4, **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g"})
+def spark(tmp_path_factory):
+    session = local_session(4, **{
+        "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
+"spark.sql.shuffle.partitions": "4",
+        "spark.driver.memory": "4g",
+    })
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -1,5 +1,7 @@
 from datetime import date
 
+from pathlib import Path
+
 import pytest
 
 from punctual.__main__ import main
@@ -52,7 +54,7 @@ def test_csv_quoting_and_missing_values(spark, csv_dir):
 
 def test_malformed_row_fails(spark, tmp_path):
     (tmp_path / "s.csv").write_text("order_id,n,t,i,v\no1,not a number,boleto,1,2.00\n")
-    with pytest.raises(Exception, match="(?i)malformed"):
+    with pytest.raises(Exception, match="(?i)malformed|FAILED_READ"):
         load_csv(spark, str(tmp_path / "s.csv"), "order_payments").collect()
 
 
@@ -95,6 +97,27 @@ def test_prepared_sample_has_a_default_folder(spark, csv_dir):
     assert scratch_folder(spark) in ready.prepared().inputFiles()[0]
 
 
+def test_malformed_row_fails_whatever_is_read(spark, csv_dir, tmp_path):
+    """A bad date and a short row fail a count and queries that never read the bad column."""
+    for name, line in (("date", "o9,c1,delivered,NOT_A_DATE,,,,\n"), ("short", "o9,c1\n")):
+        folder = tmp_path / name
+        folder.mkdir()
+        for path in Path(csv_dir).iterdir():
+            text = path.read_text()
+            (folder / path.name).write_text(text + line if path.name == "orders.csv" else text)
+        model = csv_model(spark, str(folder))
+        for read in (model["orders"], quality.status_shares(model), quality.shipped_total(model)):
+            with pytest.raises(Exception, match="(?i)malformed|FAILED_READ"):
+                read.collect()
+
+
+def test_every_result_is_written_whole(spark, csv_dir, tmp_path):
+    main([csv_dir, str(tmp_path), "--rows", "1"])
+    model = parquet_model(spark, str(tmp_path / "tables"))
+    for name, query in QUERIES.items():
+        assert spark.read.parquet(str(tmp_path / "results" / name)).count() == query(model).count(), name
+
+
 def test_whole_analysis_from_csv(spark, csv_dir, tmp_path, capsys):
     main([csv_dir, str(tmp_path), "--rows", "5"])
     printed = capsys.readouterr().out
