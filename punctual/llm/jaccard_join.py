@@ -38,7 +38,7 @@ HOT_IN_TASK = 8
 #: Shingles that a block of a map task holds, and that a code range is planned for.
 BLOCK, RANGE = 1 << 20, 1 << 21
 #: Rounds in which groups meet by a member drawn by lot before all that is left is paired.
-ROUNDS = 6
+ROUNDS = 3
 #: Cells of the histogram that the suffix filter compares.
 CELLS = 64
 
