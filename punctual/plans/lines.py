@@ -1,7 +1,7 @@
 """Queries over items, products, sellers, payments and people.
 
-The many side is always collapsed to the grain of the result before it meets the orders,
-so a join never multiplies them.
+Where the result has a row per order, the many side is collapsed before it meets the orders, so a
+join never multiplies them. Results over items (sellers, products, lanes) join the items as rows.
 """
 
 from __future__ import annotations
