@@ -4,9 +4,10 @@
 2. ``shared_sets``: shingles meet by code range, where their document frequency is counted, and
    those of two sets or more go back to their sets. Shingles of one set alone come first in the
    rare-first order and can join nothing, so a set with a quarter of such shingles is done.
-3. ``_links``: prefixes meet by shingle. A bucket first pairs each member with its first and last
-   member; the pairs found make provisional groups. A few rounds pair the members of a bucket's
-   lesser groups with a member of its largest, drawn by lot. Then all members of different groups are
+3. ``_links``: prefixes meet by shingle. A bucket first pairs each member with the hub of its class
+   of sizes and of the next: the member with the fewest rarer shingles, which in a group of near
+   copies is the one most like the rest. The pairs found make provisional groups. A few rounds pair
+   the members of a bucket's lesser groups with members of its largest, drawn by lot. Then all members of different groups are
    paired, from the bucket's lesser groups outwards, so a bucket of one large group costs
    nothing more. Length and position are tested in the join, the suffix on distinct pairs, and
    each pair that remains is verified once on the whole sets.
@@ -18,6 +19,7 @@ are summed per task first and never meet in one place; their list is bounded by
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +39,10 @@ HOT_SHARE = 2000
 HOT_IN_TASK = 8
 #: Shingles that a block of a map task holds, and that a code range is planned for.
 BLOCK, RANGE = 1 << 20, 1 << 21
-#: Rounds in which groups meet by a member drawn by lot before all that is left is paired.
-ROUNDS = 3
+#: Rounds in which groups meet by members drawn by lot before all that is left is paired.
+ROUNDS = 1
+#: Members of the largest group that are drawn in a round for each shingle.
+HEADS = 8
 #: Cells of the histogram that the suffix filter compares.
 CELLS = 64
 
@@ -336,18 +340,21 @@ def _links(sets: DataFrame) -> DataFrame:
         "token", "id", "n", (F.col("at") + F.col("alone")).alias("pos")
     )
     entry = F.struct("id", "n", "pos")
-    buckets = postings.groupBy("token").agg(F.min(entry).alias("first"), F.max(entry).alias("last")).where("first.id < last.id")
-    met = postings.select("token", entry.alias("own")).join(buckets, "token")
-    ends = [
-        met.where((F.col("own.id") != F.col(f"{end}.id")) & _fits("own", end)).select(F.col("own.id").alias("a"), F.col(f"{end}.id").alias("b"))
-        for end in ("first", "last")
-    ]
-    near = stored(_verified(ends[0].unionByName(ends[1]), sets), "near")
+    hub = F.min(F.struct("pos", "id", "n")).alias("hub")
+    hubs = postings.groupBy("token", _size_class("n").alias("size")).agg(hub, F.count("*").alias("members"))
+    # Each class is offered its own hub and that of the next class; a lone set has nobody to meet.
+    offers = hubs.groupBy("token").agg(F.sum("members").alias("all"), F.collect_list(F.struct("size", "hub")).alias("offers"))
+    offered = offers.where("all > 1").select("token", F.explode("offers").alias("offer")).select(
+        "token", F.explode(F.array("offer.size", F.col("offer.size") - 1)).alias("size"), "offer.hub"
+    )
+    met = postings.withColumn("size", _size_class("n")).withColumn("own", entry).join(offered, ["token", "size"])
+    pairs = met.where((F.col("id") != F.col("hub.id")) & _fits("own", "hub"))
+    near = stored(_verified(pairs.select(F.col("id").alias("a"), F.col("hub.id").alias("b")), sets), "near")
     grouped = _grouped(postings, near)
     for turn in range(ROUNDS):
         met = grouped.withColumn("own", entry).join(_mixed(grouped, turn), "token").where(F.col("root") != F.col("most.root"))
-        pairs = met.where(_fits("own", "most.head")).select(F.col("id").alias("a"), F.col("most.head.id").alias("b"))
-        more = stored(_verified(pairs, sets), "more")
+        met = met.select("id", "own", F.explode("most.heads").alias("head")).where(_fits("own", "head"))
+        more = stored(_verified(met.select(F.col("id").alias("a"), F.col("head.id").alias("b")), sets), "more")
         if not more.isEmpty():
             near = stored(near.unionByName(more), "near")
             grouped = _grouped(postings, near)
@@ -375,14 +382,25 @@ def _grouped(postings: DataFrame, links: DataFrame) -> DataFrame:
     return postings.join(groups, "id", "left").withColumn("root", F.coalesce("root", "id"))
 
 
+def _size_class(n: str):
+    """Sets of one class allow each other by length: classes are as wide as the similarity."""
+    return F.floor(F.log(n) / math.log(4 / 3))
+
+
 def _mixed(grouped: DataFrame, turn: int) -> DataFrame:
-    """Buckets of more than one group, with the largest (``most``: its size, root and ``head``).
+    """Buckets of more than one group, with the largest (``most``: its size, root and ``heads``).
 
-    The head is a member drawn by lot, another in each turn; so are groups of one size.
+    The heads are members drawn by lot, others in each turn; so are groups of one size.
     """
-    lot = lambda name: F.xxhash64(name, F.lit(turn)).alias("lot")
-    sizes = grouped.groupBy("token", "root").agg(F.count("*").alias("size"), F.min(F.struct(lot("id"), "id", "n", "pos")).alias("head"))
-    return sizes.groupBy("token").agg(F.max(F.struct("size", lot("root"), "root", "head")).alias("most"), F.count("*").alias("groups")).where("groups > 1").drop("groups")
+    def lot(name: str, draw: int):
+        return F.xxhash64(name, F.lit(turn), F.lit(draw)).alias("lot")
+
+    drawn = [F.min(F.struct(lot("id", draw), F.struct("id", "n", "pos").alias("head"))) for draw in range(HEADS)]
+    heads = F.array_distinct(F.transform(F.array(*drawn), lambda one: one["head"])).alias("heads")
+    sizes = grouped.groupBy("token", "root").agg(F.count("*").alias("size"), heads)
+    return sizes.groupBy("token").agg(
+        F.max(F.struct("size", lot("root", 0), "root", "heads")).alias("most"), F.count("*").alias("groups")
+    ).where("groups > 1").drop("groups")
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
