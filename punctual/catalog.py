@@ -86,4 +86,5 @@ QUERIES: dict[str, Query] = {
     "x7_order_payments": lines.order_payments,
     "x8_handover_by_payment": lines.handover_by_payment,
     "x9_buffer_by_state": sla.buffer_by_state,
+    "x10_late_by_handover": lines.late_by_handover,
 }

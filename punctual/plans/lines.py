@@ -138,3 +138,15 @@ def handover_by_payment(model: Model) -> DataFrame:
             F.max(gap).alias("max_gap_days"),
         )
     )
+
+
+def late_by_handover(model: Model) -> DataFrame:
+    """Late orders by whether a seller handed an item over late: the seller's part against transport's."""
+    limits = model["order_items"].groupBy("order_id").agg(F.min("shipping_limit_date").alias("shipping_limit"))
+    handed = sample(model).select("order_id", "is_late", CARRIER).filter(F.col(CARRIER).isNotNull())
+    late = F.count_if("is_late")
+    return (
+        handed.join(limits, "order_id")
+        .groupBy((F.col(CARRIER) > F.col("shipping_limit")).alias("handed_late"))
+        .agg(F.count("*").alias("orders"), late.alias("late_orders"), share(late, F.count("*")).alias("late_pct"))
+    )

@@ -50,4 +50,12 @@ LINES = {
                {pct('handover_bad', 'orders_count', 3)} AS handover_bad_pct,
                {cont('days', 0.5)} AS median_gap_days, max(days) AS max_gap_days
         FROM gaps GROUP BY payment_type""",
+    "x10_late_by_handover": f"""
+        SELECT handed_late, count(*) AS orders, count(*) FILTER (is_late) AS late_orders,
+               {pct('late_orders', 'orders')} AS late_pct
+        FROM (SELECT order_id, any_value(is_late) AS is_late,
+                     bool_or(order_delivered_carrier_date > shipping_limit_date) AS handed_late
+              FROM delivered JOIN m_items USING (order_id)
+              WHERE order_delivered_carrier_date IS NOT NULL GROUP BY order_id)
+        GROUP BY handed_late""",
 }
