@@ -1,13 +1,16 @@
 """Scores of documents by masked pseudo-likelihood under a bidirectional window network.
 
-Every token is predicted from the words on both of its sides, itself masked: tables of both
-sides' words add up to a hidden layer, from which a softmax over classes of the vocabulary and
-one within the class give the word's probability. A word outside the vocabulary is predicted as
-unknown and then spelt by the byte frequencies of all unknown words of the corpus.
-
-The vocabulary and byte counts come from every word of the corpus. The network is trained in
-numpy where the texts are: each task learns from its own windows, and the tasks' weights are
-averaged by the tokens they saw, for ``ROUNDS`` rounds. No task or driver sees the corpus.
+A word is one token if the vocabulary holds it, and else the longest pieces of the vocabulary
+from its start on; single bytes are always pieces, and byte 0 ends a word. Every word is masked
+as a whole and predicted from both of its sides: each of its tokens from the tokens before it
+(earlier ones of its own word too) and from those that follow the word. Tables of both sides'
+tokens add up to a hidden layer, from which a softmax over classes of the vocabulary and one
+within the class give the token's probability.
+
+Words, pieces and their frequencies come from every word of the corpus. The network is trained
+in numpy where the texts are: each task learns from every token of its texts, and the tasks'
+weights are averaged by the tokens they saw, for ``ROUNDS`` rounds. No task or driver sees the
+corpus.
 """
 
 from __future__ import annotations
@@ -24,16 +27,20 @@ from pyspark.sql import functions as F
 from punctual.llm.shingles import words_of
 from punctual.llm.store import sent, stored
 
-#: Words predicted as such (a multiple of CLASS), words of a class, hidden units, words seen on each side.
-WORDS, CLASS, HIDDEN, SIDE = 1024, 32, 24, 2
-#: One token of so many is trained on in a round, rounds, tokens of a step, and the step size.
-EVERY, ROUNDS, STEP, RATE = 12, 1, 2048, 0.2
-#: Tokens worked on at once when scoring, and distinct words that a task counts before it passes them on.
-CHUNK, COUNTED = 1 << 15, 500_000
+#: Tokens of the vocabulary (a multiple of CLASS), tokens of a class, hidden units, tokens seen on each side.
+WORDS, CLASS, HIDDEN, SIDE = 4096, 64, 24, 2
+#: Rounds over all tokens, tokens of a step, and the step size.
+ROUNDS, STEP, RATE = 1, 4096, 0.2
+#: Single bytes, and whole words at most; the pieces have the rest. Lengths of pieces.
+BYTES, WHOLE, LENGTHS = 256, (WORDS - 256) // 2, (2, 3, 4)
+#: Words whose tokens a task remembers, and their greatest length.
+REMEMBERED, SHORT = 300_000, 64
+#: Tokens worked on at once when scoring, and distinct words (or places of pieces) that a task counts before it passes them on.
+CHUNK, COUNTED, PLACES = 1 << 15, 500_000, 1 << 22
 #: Parts in which the weights are averaged.
 SLICES = 16
 
-#: Places of the network's input table: the words, then the border of a text. Word 0 is the unknown word.
+#: Places of the network's input table: the tokens, then the border of a text. The first tokens are the bytes.
 BORDER = WORDS
 CLASSES = WORDS // CLASS
 
@@ -55,18 +62,90 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flushed()
 
 
-def _spelt(known: set[bytes]):
-    """Bytes of the words outside the vocabulary, by frequency; a word ends in byte 0."""
+def _pieced(known: set[bytes]):
+    """Pieces of the words outside ``known`` with their counts, each as a number: its length, then its bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(256, np.int64)
+        keys, times, size = [], [], 0
+
+        def flushed() -> pa.RecordBatch:
+            found, place = np.unique(np.concatenate([np.empty(0, np.int64), *keys]), return_inverse=True)
+            total = np.bincount(place, np.concatenate([np.empty(0, np.int64), *times]), len(found)).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(found), pa.array(total)], names=["piece", "tokens"])
+
         for batch in batches:
             rows = [(word, n) for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if word not in known]
-            if rows:
-                data = np.frombuffer(b"\0".join(word for word, _ in rows) + b"\0", np.uint8)
-                times = np.repeat([n for _, n in rows], [len(word) + 1 for word, _ in rows])
-                total += np.bincount(data, times, 256).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(total)], names=["byte", "times"])
+            if not rows:
+                continue
+            data = np.frombuffer(b"\0".join(word for word, _ in rows) + b"\0", np.uint8).astype(np.int64)
+            lengths = [len(word) + 1 for word, _ in rows]
+            owner, often = np.repeat(np.arange(len(rows)), lengths), np.repeat([n for _, n in rows], lengths)
+            for length in LENGTHS:
+                if len(data) < length:
+                    continue
+                ends = len(data) - length + 1
+                key = np.full(ends, length, np.int64)
+                for step in range(length):
+                    key = key << 8 | data[step : step + ends]
+                own = owner[:ends] == owner[length - 1 :]
+                keys.append(key[own])
+                times.append(often[:ends][own])
+                size += len(keys[-1])
+            if size >= PLACES:
+                yield flushed()
+                keys, times, size = [], [], 0
+        yield flushed()
+
+    return run
+
+
+def _piece(key: int) -> bytes:
+    """The piece of a number."""
+    data = key.to_bytes(8, "big").lstrip(b"\0")
+    return data[1:]
+
+
+class Tokens(dict):
+    """Tokens of each word: its own, or the longest pieces from its start on."""
+
+    def __init__(self, numbers: dict[bytes, int]):
+        super().__init__()
+        self.numbers = numbers
+
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
+        whole, number = word + b"\0", self.numbers.get
+        own = number(whole)
+        if own is not None:
+            found = (own,)
+        else:
+            parts, at = [], 0
+            while at < len(whole):
+                for length in reversed(LENGTHS):
+                    part = number(whole[at : at + length]) if at + length <= len(whole) else None
+                    if part is not None:
+                        break
+                else:
+                    part, length = whole[at], 1
+                parts.append(part)
+                at += length
+            found = tuple(parts)
+        if len(word) <= SHORT:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = found
+        return found
+
+
+def _frequencies(numbers: dict[bytes, int]):
+    """Times that each token stands in the counted words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, total = Tokens(numbers), np.zeros(WORDS, np.int64)
+        for batch in batches:
+            parts = [tokens[word] for word in batch.column(0).to_pylist()]
+            often = np.repeat(batch.column(1).to_numpy(), [len(x) for x in parts])
+            total += np.bincount([i for x in parts for i in x], often, WORDS).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(WORDS)), pa.array(total)], names=["token", "times"])
 
     return run
 
@@ -81,7 +160,7 @@ class Network:
 
     @classmethod
     def started(cls, shares: np.ndarray, seed: int = 1) -> Network:
-        """Small random tables, and output biases that give the words' frequencies."""
+        """Small random tables, and output biases that give the tokens' frequencies."""
         random = np.random.default_rng(seed)
         by_class = shares.reshape(CLASSES, CLASS)
         totals = by_class.sum(axis=1)
@@ -121,12 +200,12 @@ class Network:
     def learn(self, ids: np.ndarray, sides: np.ndarray, squares: list[np.ndarray]) -> None:
         """One step down the mean cross-entropy, with step sizes from all squares so far."""
         tables, _, into, into_bias, within, within_bias = self.arrays
-        changes = [np.zeros_like(array) for array in self.arrays]
+        changes = [np.zeros_like(array) for array in self.arrays[1:]]
         hidden = self.hidden(sides)
         rows, group = np.arange(len(ids)), ids // CLASS
         gap = np.exp(_log_softmax(hidden @ into + into_bias))
         gap[rows, group] -= 1
-        changes[2][:], changes[3][:] = hidden.T @ gap, gap.sum(axis=0)
+        changes[1][:], changes[2][:] = hidden.T @ gap, gap.sum(axis=0)
         back = gap @ into.T
         order = np.argsort(group, kind="stable")
         ends = np.searchsorted(group[order], np.arange(CLASSES + 1))
@@ -135,15 +214,18 @@ class Network:
             if len(own):
                 gap = np.exp(_log_softmax(hidden[own] @ within[each] + within_bias[each]))
                 gap[np.arange(len(own)), ids[own] % CLASS] -= 1
-                changes[4][each], changes[5][each] = hidden[own].T @ gap, gap.sum(axis=0)
+                changes[3][each], changes[4][each] = hidden[own].T @ gap, gap.sum(axis=0)
                 back[own] += gap @ within[each].T
         back *= 1 - hidden * hidden
-        changes[1][:] = back.sum(axis=0)
+        changes[0][:] = back.sum(axis=0)
         for k in range(2 * SIDE):
             order = np.argsort(sides[k], kind="stable")
             words, starts = np.unique(sides[k][order], return_index=True)
-            changes[0][k][words] = np.add.reduceat(back[order], starts, axis=0)
-        for array, change, square in zip(self.arrays, changes, squares, strict=True):
+            change = np.add.reduceat(back[order], starts, axis=0) / len(ids)
+            # Rows of tokens that aren't there have no change.
+            squares[0][k][words] += change * change
+            tables[k][words] -= RATE * change / (np.sqrt(squares[0][k][words]) + 1e-4)
+        for array, change, square in zip(self.arrays[1:], changes, squares[1:], strict=True):
             change /= len(ids)
             square += change * change
             array -= RATE * change / (np.sqrt(square) + 1e-4)
@@ -155,28 +237,28 @@ def _log_softmax(logits: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Vocabulary, log-frequencies of the bytes of unknown words, and the network."""
+    """Vocabulary and the network."""
 
-    def __init__(self, words: list[bytes], spelling: np.ndarray, network: Network):
-        # Place 0 is the unknown word; the others go by falling frequency.
-        self.numbers = {word: i + 1 for i, word in enumerate(words)}
-        self.spelling, self.network = spelling, network
+    def __init__(self, parts: list[bytes], network: Network):
+        # The bytes come first; whole words (with their end) and pieces follow.
+        self.numbers = {part: BYTES + i for i, part in enumerate(parts)}
+        self.tokens, self.network = Tokens(self.numbers), network
 
     def read(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, float]:
-        """Ids of a text, the ids on their sides, and the log-probability of its unknown words' spelling."""
-        number = self.numbers.get
-        ids = np.array([number(word, 0) for word in words], np.int32)
-        padded = np.concatenate([np.full(SIDE, BORDER, np.int32), ids, np.full(SIDE, BORDER, np.int32)])
-        sides = np.stack([padded[k : k + len(ids)] for k in (*range(SIDE), *range(SIDE + 1, 2 * SIDE + 1))])
-        unknown = [words[i] for i in np.flatnonzero(ids == 0)]
-        spelt = 0.0
-        if unknown:
-            spelt = float(self.spelling[np.frombuffer(b"\0".join(unknown) + b"\0", np.uint8)].sum())
-        return ids, sides, spelt
+        """Tokens of a text, those on their sides, and the log-probability of what has no sides: nothing, so 0."""
+        parts = [self.tokens[word] for word in words]
+        sizes = np.array([len(x) for x in parts], np.int64)
+        ids = np.fromiter((i for x in parts for i in x), np.int32, int(sizes.sum()))
+        border = np.full(SIDE, BORDER, np.int32)
+        padded = np.concatenate([border, ids, border])
+        # The right side of all tokens of a word begins after the word, so none sees what it shall predict.
+        ends = np.repeat(np.cumsum(sizes), sizes)
+        sides = np.stack([*(padded[k : k + len(ids)] for k in range(SIDE)), *(padded[ends + SIDE + k] for k in range(SIDE))])
+        return ids, sides, 0.0
 
 
 def _windows(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Steps of windows of the task's texts: every ``EVERY``-th token, from a start that differs by text."""
+    """Windows of all tokens of the task's texts, in steps or more at a time."""
     ids, sides, size = [], [], 0
     for batch in batches:
         for text in batch.column(0).to_pylist():
@@ -184,10 +266,9 @@ def _windows(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[
             if not words:
                 continue
             own, around, _ = model.read(words)
-            first = len(text) % EVERY
-            ids.append(own[first::EVERY])
-            sides.append(around[:, first::EVERY])
-            size += len(ids[-1])
+            ids.append(own)
+            sides.append(around)
+            size += len(own)
             if size >= STEP:
                 yield np.concatenate(ids), np.concatenate(sides, axis=1)
                 ids, sides, size = [], [], 0
@@ -223,21 +304,23 @@ def _averaged(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def trained(docs: DataFrame, rounds: int = ROUNDS) -> Model:
-    """Vocabulary from all words, network from windows of all texts."""
+    """Vocabulary from all words, network from every token of all texts."""
     spark = docs.sparkSession
     texts = docs.select(F.col("text").cast("binary").alias("text"))
     counts = stored(texts.mapInArrow(_counted, "word binary, tokens long").groupBy("word").agg(F.sum("tokens").alias("tokens")), "words")
-    top = counts.orderBy(F.desc("tokens"), "word").limit(WORDS - 1).collect()
-    words = [bytes(row["word"]) for row in top]
-    total = counts.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-    rows = counts.mapInArrow(_spelt(set(words)), "byte long, times long").groupBy("byte").agg(F.sum("times")).collect()
-    spelling = np.ones(256)
-    for byte, times in rows:
-        spelling[byte] += times
+    words = [bytes(row["word"]) for row in counts.orderBy(F.desc("tokens"), "word").limit(WHOLE).collect()]
+    pieces = counts.mapInArrow(_pieced(set(words)), "piece long, tokens long").groupBy("piece").agg(F.sum("tokens").alias("tokens"))
+    # Pieces go by the bytes that they save.
+    saved = F.col("tokens") * (F.when(F.col("piece") < 3 << 16, 1).when(F.col("piece") < 4 << 24, 2).otherwise(3))
+    whole = [word + b"\0" for word in words]
+    best = pieces.orderBy(F.desc(saved), "piece").limit(WORDS - BYTES - len(whole)).collect()
+    # A short word and a piece at the end of words may be the same bytes.
+    parts = list(dict.fromkeys(whole + [_piece(row["piece"]) for row in best]))
     shares = np.ones(WORDS)
-    shares[1 : len(top) + 1] += [row["tokens"] for row in top]
-    shares[0] += total - sum(row["tokens"] for row in top)
-    model = Model(words, np.log(spelling / spelling.sum()), Network.started(shares / shares.sum()))
+    numbers = {part: BYTES + i for i, part in enumerate(parts)}
+    for token, times in counts.mapInArrow(_frequencies(numbers), "token long, times long").groupBy("token").agg(F.sum("times")).collect():
+        shares[token] += times
+    model = Model(parts, Network.started(shares / shares.sum()))
     schema = "slice int, tokens long, weights binary"
     for _ in range(rounds):
         learnt = texts.mapInArrow(_trained(sent(spark, model)), schema)
@@ -289,7 +372,7 @@ def _scored(model):
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id``, ``n_words``, ``log_likelihood`` (sum over all words), its mean and ``perplexity``.
+    """``doc_id``, ``n_words``, ``log_likelihood`` (sum over all tokens of all words), its mean over the words and ``perplexity``.
 
     Words are those of the shingles: runs without white space, A-Z lower-cased. A text without
     words has a sum of 0 and null mean and perplexity. Repeated rows score alike; null ids are

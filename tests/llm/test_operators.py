@@ -266,6 +266,24 @@ def test_pseudo_likelihood_scores_and_gradient(spark, texts, odd):
     assert pseudo_likelihood.trained(odd.limit(0)).numbers == {}
 
 
+def test_pseudo_likelihood_predicts_every_token_from_both_sides(spark):
+    # Rare words follow what stands beside them; each word stands once, so none is in a vocabulary of whole words.
+    random = np.random.default_rng(5)
+    letters = lambda low, n: "".join(chr(low + i) for i in random.integers(0, 13, n))
+    rows = [(i, " ".join(w for _ in range(60) for k in (i % 2,) for w in (("left", "right")[k], letters((97, 110)[k], 9)))) for i in range(400)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    model = pseudo_likelihood.trained(frame)
+    # The chance of a rare word depends on its neighbour.
+    own, other = [model.network.scores(*model.read(words(f"{side} abcdefghi {side}"))[:2])[1:-1].sum() for side in ("left", "right")]
+    assert own > other + 1
+    # Every token counts as trained on.
+    tokens = sum(len(model.read(words(text))[0]) for _, text in rows)
+    assert sum(len(ids) for ids, _ in pseudo_likelihood._windows(model, frame.select(F.col("text").cast("binary")).toArrow().to_batches())) == tokens
+    # A word's tokens see nothing of the word to their right, and words of any bytes are read whole.
+    ids, sides, spelt = model.read([b"left", b"zz\xff\x01zz", b"right"])
+    assert spelt == 0 and (sides[2, 1:-1] == ids[-1]).all() and sides[3, 0] == ids[2]
+
+
 PAGE = (
     "<html><head><title>T</title><script>var a='</p>';</script></head><body><nav><ul><li>Menu</li></ul></nav>"
     "<div class='teaser'>{same}</div><div class='story'><h1>Title {i}</h1><p>Text&nbsp;{i} &amp; <b>bold</b>\n more<p>Second {i}"
