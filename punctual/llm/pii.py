@@ -9,6 +9,8 @@ that half may be, which is a permutation whatever the halves' sizes.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +26,17 @@ PHONE = (
     r"\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)"
     r"|(?<!\d)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}([-.])\d{3}\3\d{4}(?![\d-])"
 )
-CARD = r"(?<![\w+])(?<!\d[ -])\d(?:[ -]?\d){12,18}(?!\w)(?![ -]\d)"
-ANY = "|".join((EMAIL, ADDRESS, DATE, SOCIAL, PHONE, CARD))
+OTHERS = "|".join((EMAIL, ADDRESS, DATE, SOCIAL, PHONE))
+#: Numbers side by side, 13 digits of them or more, up to one that begins something else. Cards are looked for inside.
+NUMBERS = (
+    r"(?<![\w+])(?=\d(?:[ -]?\d){12})\d++(?!\w)(?:[ -](?!" + re.sub(r"\\([123])", lambda m: f"\\{int(m[1]) + 3}", OTHERS) + r")\d++(?!\w))*+"
+)
+ANY = f"{OTHERS}|{NUMBERS}"
+#: How cards are written, and the numbers that each form has, the likelier first.
+FORMS = r"^(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,4}|\d{4}([ -])\d{6}\2\d{4,5}|\d{4}([ -])\d{3}\3\d{3}\3\d{3}|\d{4}([ -])\d{4}\4\d{4}\4\d{4}\4\d{1,3})$"
+PARTS = (1, 4, 3, 5)
+#: Cards in other groups: one separator throughout, no group of fewer than three digits.
+LOOSE, LOOSE_PARTS = r"^\d{3,}(?:([ -])\d{3,}(?:\1\d{3,})*)$", (2, 3, 4, 5, 6)
 #: Days that dates are permuted among: 1900-01-01 to 2099-12-31, 319 times 229 of them.
 FIRST_DAY, DAYS = "1900-01-01", (319, 229)
 
@@ -92,15 +103,66 @@ def _only_digits(text: Column) -> Column:
     return F.regexp_replace(text, r"\D", "")
 
 
-def _card(match: Column, key: str) -> Column:
-    """Valid cards: all but the check digit permuted, and the check digit that makes them valid again."""
+def _valid(number: Column) -> Column:
+    """Whether a number, separators aside, has a card's length and passes the Luhn check."""
+    return bound(_only_digits(number), lambda d: F.length(d).between(13, 19) & F.when(F.length(d).between(13, 19), _luhn_sum(d, 1) % 10 == 0).otherwise(False))
+
+
+def _renewed(card: Column, key: str) -> Column:
+    """All but the check digit permuted, and the check digit that makes the card valid again."""
 
     def renewed(digits: Column) -> Column:
         body = _digits(digits.substr(F.lit(1), F.length(digits) - 1), key, "card")
         whole = bound(body, lambda b: F.concat(b, ((10 - _luhn_sum(b, 0) % 10) % 10).cast("string")))
-        return F.when(_luhn_sum(digits, 1) % 10 == 0, bound(whole, lambda w: _dealt(match, w))).otherwise(match)
+        return bound(whole, lambda w: _dealt(card, w))
+
+    return bound(_only_digits(card), renewed)
+
+
+def _cards(match: Column, key: str) -> Column:
+    """Valid cards among numbers side by side: in a usual form first, then in other groups, then all numbers as one."""
+
+    def joined(numbers: Column, at: Column, parts: Column) -> Column:
+        return F.regexp_replace(F.array_join(F.slice(numbers, at, parts), ""), "^[ -]", "")
+
+    def first(parts: tuple[int, ...], numbers: Column, at: Column, fits) -> Column:
+        """The first count of numbers from a place on that fit and are a valid card, or 0."""
+        enough = F.filter(F.array(*map(F.lit, parts)), lambda n: at + n - 1 <= F.size(numbers))
+        found = F.filter(enough, lambda n: bound(joined(numbers, at, n), lambda x: F.when(fits(x, n), _valid(x)).otherwise(False)))
+        return F.coalesce(F.get(found, F.lit(0)), F.lit(0))
+
+    def usual(numbers: Column) -> Column:
+        return F.transform(numbers, lambda _, i: first(PARTS, numbers, i + 1, lambda x, n: x.rlike(FORMS)))
+
+    def loose(numbers: Column, usuals: Column) -> Column:
+        """The same with the other groups, which must not reach into a usual form."""
+        free = lambda at, n: F.forall(F.slice(usuals, at, n), lambda u: u == 0)
+        one = F.forall(usuals, lambda u: u == 0) & _valid(match)
+
+        def at(u: Column, i: Column) -> Column:
+            own = first(LOOSE_PARTS, numbers, i + 1, lambda x, n: free(i + 1, n) & x.rlike(LOOSE))
+            return F.when(u > 0, u).when(one, F.when(i == 0, F.size(numbers)).otherwise(0)).otherwise(own)
+
+        return F.transform(usuals, at)
+
+    def written(numbers: Column, spans: Column) -> Column:
+        def put(state: Column, each: Column) -> Column:
+            at, until = state["at"], state["until"]
+            card = bound(joined(numbers, at, each["span"]), lambda x: _renewed(x, key))
+            lead = F.regexp_extract(each["number"], "^[ -]", 0)
+            following = (at + 1).cast("int").alias("at")
+            return F.when(at < until, F.struct(state["text"].alias("text"), following, until.alias("until"))).when(
+                each["span"] > 0, F.struct(F.concat(state["text"], F.array(lead, card)).alias("text"), following, (at + each["span"]).cast("int").alias("until"))
+            ).otherwise(F.struct(F.concat(state["text"], F.array(each["number"])).alias("text"), following, until.alias("until")))
+
+        start = F.struct(F.array().cast("array<string>").alias("text"), F.lit(1).alias("at"), F.lit(0).alias("until"))
+        each = F.arrays_zip(numbers.alias("number"), spans.alias("span"))
+        return F.array_join(F.aggregate(each, start, put, lambda state: state["text"]), "")
 
-    return bound(_only_digits(match), renewed)
+    numbers = F.regexp_extract_all(match, F.lit(r"[ -]?\d+"), F.lit(0))
+    return bound(numbers, lambda n: bound(usual(n), lambda u: bound(loose(n, u), lambda spans: F.when(
+        F.exists(spans, lambda span: span > 0), written(n, spans)
+    ).otherwise(match))))
 
 
 def _phone(match: Column, key: str) -> Column:
@@ -194,7 +256,7 @@ def _renamed(match: Column, key: str) -> Column:
         .when(whole(r"\d{4}([-/.])\d{2}\1\d{2}|\d{1,2}([-/.])\d{1,2}\2\d{4}"), _date(match, key))
         .when(whole(r"\d{3}-\d{2}-\d{4}"), _social(match, key))
         .when(match.rlike(r"^[+(]|^\d{3}([-.])\d{3}\1\d{4}$"), _phone(match, key))
-        .otherwise(_card(match, key))
+        .otherwise(_cards(match, key))
     )
 
 
@@ -202,7 +264,7 @@ def pseudonymised(docs: DataFrame, key: str = "punctual") -> DataFrame:
     """``docs`` with personal data in ``text`` replaced by pseudonyms, all columns as they were.
 
     Only expressions of the JVM, on one row at a time: no shuffle. Cards must pass the Luhn
-    check (their pseudonyms do too), addresses have parts up to 255, dates exist and lie in
+    check (their pseudonyms do too), and are told from numbers beside them by it, addresses have parts up to 255, dates exist and lie in
     1900-2099, social security numbers be assignable; what is not valid stays. Null and empty
     texts stay; repeated rows are replaced alike; an empty table gives no rows. Texts are read
     whole. Without the right ``key`` a pseudonym can't be led back; name your own.

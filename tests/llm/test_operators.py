@@ -132,6 +132,27 @@ def test_pseudonyms_keep_formats_and_links(spark, odd):
     assert pseudonymised(odd).columns == odd.columns and pseudonymised(odd).count() == len(ODD)
 
 
+def test_pseudonyms_of_cards_beside_numbers(spark):
+    lines = [
+        "4111111111111111 4929348385146306", "4111111111111111 12/27", "4111 1111 1111 1111 123", "paid 3 4111111111111111",
+        "4111111111111111 12/27/2027", "4111111111111111 x 4111-1111-1111-1111", "1 3782 822463 10005 7", "41111111 11111111 12/27",
+        "4111111111111112 4111111111111113", "4111111111111111 123-45-6789", "4111111111111111 4111111111111111", "1 2 3 " * 4000,
+    ]
+    out = [r.text for r in pseudonymised(spark.createDataFrame(list(enumerate(lines)), SCHEMA)).orderBy("doc_id").collect()]
+    card = re.fullmatch(r"(\d{16}) x .*", out[5])[1]
+    spaced = " ".join(card[i : i + 4] for i in range(0, 16, 4))
+    assert card != "4111111111111111"
+    first, second = out[0].split()
+    assert first == card and second != "4929348385146306" and len(second) == 16
+    assert out[1:4] == [f"{card} 12/27", f"{spaced} 123", f"paid 3 {card}"]
+    assert out[4].startswith(f"{card} ") and out[4] != f"{card} 12/27/2027" and re.fullmatch(r"\d{16} \d\d/\d\d/\d{4}", out[4])
+    assert out[5] == f"{card} x {spaced.replace(' ', '-')}"
+    assert re.fullmatch(r"1 \d{4} \d{6} \d{5} 7", out[6]) and out[6] != lines[6]
+    assert out[7] == f"{card[:8]} {card[8:]} 12/27" and out[8] == lines[8]
+    assert re.fullmatch(rf"{card} \d{{3}}-\d\d-\d{{4}}", out[9]) and out[9] != f"{card} 123-45-6789"
+    assert out[10] == f"{card} {card}" and out[11] == lines[11]
+
+
 def test_pseudonyms_are_a_permutation(spark):
     lines = [(i, f"{100 + i // 90}-{10 + i % 90}-1234") for i in range(2000)]
     frame = spark.createDataFrame(lines, SCHEMA)
