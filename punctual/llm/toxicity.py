@@ -2,10 +2,9 @@
 
 The terms of a text are its words and the beginnings of its words. A bounded sample of labelled
 rows decides which terms tell the classes apart; over these terms each example has a TF-IDF
-vector, kept in an inverted index whose postings are cut into blocks of examples, each block
-with its terms' greatest weights. A text is compared block by block, from the block that could
-hold the nearest example downwards, until no block left can beat the k-th best cosine, so the
-neighbours are exact. Their votes weigh more the nearer they are; a monotone table, fitted on
+vector, kept in an inverted index. A text's cosines with all examples that share a term with it
+are added up term by term, so the neighbours are exact; texts of equal terms and counts are
+compared once. The neighbours' votes weigh more the nearer they are; a monotone table, fitted on
 the votes of the third of the examples that had no say in the terms, turns them into
 probabilities.
 """
@@ -28,16 +27,16 @@ from punctual.llm.store import sent
 #: Labelled rows that train at most, picked by a hash of the id; more rows change no other bound.
 SAMPLE = 12_000
 #: Terms kept; how many times likelier the toxic class must make a term; and the evidence that
-#: takes, as its toxic examples times the log of that (20 is some five examples and no other).
-TERMS, LIFT, EVIDENCE = 4096, 4.0, 20.0
+#: takes, as its toxic examples times the log of that (8 is some three examples and no other).
+TERMS, LIFT, EVIDENCE = 4096, 4.0, 8.0
 #: Lengths of the word beginnings that count as terms.
 STEMS = (3, 4, 5, 6, 7, 8)
-#: Neighbours that vote, and examples of a block.
-NEIGHBOURS, BLOCK = 15, 64
+#: Neighbours that vote.
+NEIGHBOURS = 15
 #: From this score on a text counts as toxic.
 THRESHOLD = 0.3
-#: Words whose terms a task remembers.
-REMEMBERED = 300_000
+#: Words whose terms a task remembers, and vectors whose scores it does.
+REMEMBERED, SCORED = 300_000, 50_000
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
@@ -104,25 +103,18 @@ class _Known(dict):
 
 
 class Index:
-    """Block-max inverted index over the examples that have a selected term."""
+    """Inverted index over the examples that have a selected term."""
 
     def __init__(self, idf: np.ndarray, ids: list[int], labels: list[int], vectors: list[dict[int, int]]):
         self.idf = idf
         self.ids, self.labels = np.array(ids, np.int64), np.array(labels, np.float64)
-        entries = [self.weighted(vector) for vector in vectors]
-        self.blocks = -(-len(entries) // BLOCK)
-        # Greatest weight of each term in each block, and the block's postings term by term.
-        self.most = np.zeros((len(idf), self.blocks))
-        self.postings: list[dict[int, tuple[list[int], list[float]]]] = [{} for _ in range(self.blocks)]
-        for example, (terms, weights) in enumerate(entries):
-            block, place = divmod(example, BLOCK)
-            for term, weight in zip(terms, weights, strict=True):
-                self.most[term, block] = max(self.most[term, block], weight)
-                places, own = self.postings[block].setdefault(term, ([], []))
-                places.append(place)
+        postings: dict[int, tuple[list[int], list[float]]] = {}
+        for example, vector in enumerate(vectors):
+            for term, weight in zip(*self.weighted(vector), strict=True):
+                places, own = postings.setdefault(term, ([], []))
+                places.append(example)
                 own.append(weight)
-        self.arrays = [{term: (np.array(a), np.array(b)) for term, (a, b) in block.items()} for block in self.postings]
-        del self.postings
+        self.postings = {term: (np.array(places), np.array(own)) for term, (places, own) in postings.items()}
 
     def weighted(self, counts: dict[int, int]) -> tuple[list[int], np.ndarray]:
         terms = sorted(counts)
@@ -132,27 +124,20 @@ class Index:
 
     def nearest(self, counts: dict[int, int], without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Example numbers and cosines of the nearest, ties to the lower number (examples are numbered by heaviest term, then id)."""
-        terms, weights = self.weighted(counts)
-        if not self.blocks:
-            return np.empty(0, np.int64), np.empty(0)
-        bounds = weights @ self.most[terms]
-        numbers, cosines, least = np.empty(0, np.int64), np.empty(0), 0.0
-        for block in np.argsort(-bounds, kind="stable"):
-            if bounds[block] <= 0 or bounds[block] < least - 1e-12:
-                break
-            scores = np.zeros(BLOCK)
-            own = self.arrays[block]
-            for term, weight in zip(terms, weights, strict=True):
-                if term in own:
-                    places, values = own[term]
-                    scores[places] += weight * values
-            places = np.flatnonzero(scores)
-            places = places[places + block * BLOCK != without]
-            numbers, cosines = np.concatenate([numbers, places + block * BLOCK]), np.concatenate([cosines, scores[places]])
-            best = np.lexsort((numbers, -cosines))[:NEIGHBOURS]
-            numbers, cosines = numbers[best], cosines[best]
-            least = cosines[-1] if len(cosines) == NEIGHBOURS else 0.0
-        return numbers, cosines
+        scores = np.zeros(len(self.ids))
+        for term, weight in zip(*self.weighted(counts), strict=True):
+            if term in self.postings:
+                places, values = self.postings[term]
+                scores[places] += weight * values
+        if without >= 0:
+            scores[without] = 0
+        numbers = np.flatnonzero(scores)
+        if len(numbers) > NEIGHBOURS:
+            # All that are as near as the last neighbour, of which the lower numbers count.
+            least = np.partition(scores[numbers], len(numbers) - NEIGHBOURS)[len(numbers) - NEIGHBOURS]
+            numbers = numbers[scores[numbers] >= least]
+        best = numbers[np.lexsort((numbers, -scores[numbers]))[:NEIGHBOURS]]
+        return best, scores[best]
 
     def vote(self, numbers: np.ndarray, cosines: np.ndarray, prior: float) -> float:
         """Share of toxic among the neighbours by the inverse of their distance, drawn to the prior by one weak vote."""
@@ -189,7 +174,7 @@ class Model:
         self.prior = float(labels.mean()) if len(rows) else 0.0
         plain = np.array([row[1] for row in rows if not row[2] and calibrates(row[0])], np.float64)
         self.plain = float((plain.sum() + 0.01) / (len(plain) + 1))
-        # Examples that share their heaviest term share blocks, which tightens the blocks' bounds.
+        # Among examples of one cosine, those of the same heaviest term follow each other.
         idf = np.asarray(idf, np.float64)
         told = sorted((row for row in rows if row[2]), key=lambda row: max((n * idf[t], t) for t, n in row[2].items())[1])
         self.index = Index(idf, [r[0] for r in told], [r[1] for r in told], [r[2] for r in told])
@@ -199,11 +184,20 @@ class Model:
             self.points, self.values = monotone(np.array(votes), np.array([told[i][1] for i in own], np.float64))
         else:
             self.points, self.values = np.array([0.0]), np.array([self.plain])
+        self.known: dict[tuple, tuple[float, list[int]]] = {}
 
     def score(self, counts: dict[int, int]) -> tuple[float, list[int]]:
         """Probability of the toxic label, and the ids of the examples that say so."""
         if not counts:
             return self.plain, []
+        vector = tuple(sorted(counts.items()))
+        if vector not in self.known:
+            if len(self.known) >= SCORED:
+                self.known.clear()
+            self.known[vector] = self._compared(counts)
+        return self.known[vector]
+
+    def _compared(self, counts: dict[int, int]) -> tuple[float, list[int]]:
         numbers, cosines = self.index.nearest(counts)
         if not len(numbers):
             return self.plain, []

@@ -253,6 +253,18 @@ def test_toxicity_is_exact_and_learns(spark, odd):
     assert {r.predicted for r in toxicity.toxicity(docs, empty).collect()} == {0}
 
 
+def test_toxicity_learns_from_few_examples(spark):
+    # Four toxic rows that teach share a word, two of them of those that choose the terms.
+    ids = list(range(400))
+    telling, rest = [i for i in ids if not toxicity.calibrates(i)], [i for i in ids if toxicity.calibrates(i)]
+    bad = {*telling[:2], *rest[:2]}
+    docs = spark.createDataFrame([(i, f"word{i % 7} other{i % 5}" + " zzgrub" * (i in bad)) for i in ids] + [(900, "zzgrub word1"), (901, "word1")], SCHEMA)
+    marks = spark.createDataFrame([(i, int(i in bad)) for i in ids], "doc_id long, toxic int")
+    model = toxicity.trained(docs, marks, F.lit(True))
+    found = {r.doc_id: r for r in toxicity.toxicity(docs, model).collect()}
+    assert found[900].predicted == 1 and found[901].predicted == 0 and set(found[900].evidence) <= bad
+
+
 def test_language_on_rows_it_never_saw(spark, texts, odd):
     model = language.trained(texts, ~toxicity.held_out(F.col("doc_id")))
     found = language.languages(texts, model).join(texts.select("doc_id", "lang"), "doc_id").where(toxicity.held_out(F.col("doc_id"))).collect()
