@@ -123,11 +123,23 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, share: int = SHARE) -
     return pairs.select("doc_id", F.col("pair.items").alias("item_id"), F.col("pair.shares").alias("containment"))
 
 
+def _clean(sketches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pickle
+
+        known, own = WordCodes(), pickle.loads(sketches.value)
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist()
+            yield batch.filter(pa.array([not own.found(shingle_codes(words_of(text), known)) for text in texts], pa.bool_()))
+
+    return run
+
+
 def clean_documents(docs: DataFrame, benchmark: DataFrame, share: int = SHARE) -> DataFrame:
     """Rows of ``docs`` that hold no item, with all their columns.
 
-    All rows of an id go if one of them holds an item; rows with a null doc_id are judged
-    together.
+    Every row is judged by its own text, whatever its id; one pass over the rows follows the other.
     """
-    hit = contained_items(docs, benchmark, share).select(F.col("doc_id").alias("_hit_id")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_hit_id"]), "left_anti")
+    for block in _passes(benchmark):
+        docs = docs.mapInArrow(_clean(sent(docs.sparkSession, Sketches(block, share))), docs.schema)
+    return docs

@@ -430,11 +430,17 @@ def similar_documents(docs: DataFrame) -> DataFrame:
 
 
 def one_per_group(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` of each component's smallest doc_id, all columns as they were.
+    """One row of ``docs`` of each component, all columns as they were.
 
-    Rows without shingles stay. Rows that repeat both id and text stay once; rows with a null
-    doc_id stay, as they can't be told apart.
+    It is that of the smallest doc_id; a row without an id stays only if no row of its component
+    has one. Rows are numbered before the join, and of equal ids the first number stays, so ids
+    may repeat or miss. Rows without shingles stay, but once if they repeat both id and text.
     """
-    keep = similar_documents(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    kept = docs.join(keep, docs["doc_id"] == keep["_kept_id"], "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id is null"))
+    rows = stored(docs.withColumn("_row_key", F.monotonically_increasing_id()), "rows")
+    found = similar_documents(rows.select(F.col("_row_key").alias("doc_id"), "text"))
+    ids = rows.select("_row_key", "doc_id").join(found.select(F.col("doc_id").alias("_row_key"), "component_id"), "_row_key")
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row_key"))).alias("first")
+    keep = ids.groupBy("component_id").agg(first).select(F.col("first._row_key").alias("_row_key"))
+    kept = rows.join(keep, "_row_key", "left_semi").drop("_row_key")
+    blank = F.col("doc_id").isNotNull() & ~F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return kept.where(~blank).unionByName(kept.where(blank).dropDuplicates(["doc_id", "text"]))

@@ -219,6 +219,22 @@ def test_decontamination_equals_exact_containment(spark, sf_dir, texts, odd):
     assert contained_items(odd, items.limit(0)).count() == 0 and clean_documents(odd, items).count() == len(ODD)
 
 
+def test_rows_are_judged_by_row_not_by_id(spark):
+    item = " ".join(f"item{i}" for i in range(20))
+    texts = {name: " ".join(f"{name}{i}" for i in range(20)) for name in "abcde"}
+    rows = [(None, item), (None, texts["a"]), (None, texts["b"]), (5, f"so {item} so"), (5, texts["c"]), (6, texts["d"])]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    clean = clean_documents(frame, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert collections.Counter((r.doc_id, r.text) for r in clean.collect()) == collections.Counter(rows[1:3] + rows[4:])
+    # Copies without an id, an id with two texts of two groups, and a group of one id's texts.
+    near = texts["b"].replace("b0 ", "x ")
+    rows = [(None, texts["a"])] * 3 + [(None, texts["b"]), (7, texts["b"]), (7, texts["c"]), (8, texts["c"]), (3, texts["d"]), (3, texts["e"]), (7, near), (2, texts["e"])]
+    kept = [(r.doc_id, r.text) for r in one_per_group(spark.createDataFrame(rows, SCHEMA)).collect()]
+    groups = collections.Counter("b" if text == near else text[0] for _, text in kept)
+    assert groups == dict.fromkeys("abcde", 1)
+    assert {(text[0] if text != near else "b"): doc for doc, text in kept} == {"a": None, "b": 7, "c": 7, "d": 3, "e": 2}
+
+
 def test_toxicity_is_exact_and_learns(spark, odd):
     random = np.random.default_rng(3)
     plain = [f"word{i}" for i in range(300)]
