@@ -6,7 +6,8 @@ children's sequences), and how much what stands below it differs (one less the e
 block's text over the pages that hold it). Elements that are alike on most pages are templates,
 and a page loses the branches under them. What markup itself declares to be no article (menus,
 footers, forms, adverts ...) goes before the tree is built, and pages that declare an article
-are read inside it only.
+are read inside it only. Near copies (revisions, print versions) count as one page, and no page
+loses all its text to its host's templates.
 """
 
 from __future__ import annotations
@@ -20,10 +21,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from punctual.llm.components import components
 from punctual.llm.store import stored
 
 #: Weight of content against presentation, importance below which a branch goes, and pages that it takes to tell.
 CONTENT, LEAST, PAGES = 0.9, 0.3, 4
+#: Least hashes by which near copies meet, and the Jaccard of their main blocks from which on they are such.
+HASHES, NEAR = 8, 0.5
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(?P<raw>script|style|noscript|template|textarea|svg|iframe|title|math)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -156,8 +160,17 @@ def host_of(url: str | None) -> str:
     return found[1].lower() if found else ""
 
 
+def _main(blocks: list[tuple[str, tuple[str, ...], int]]) -> list[tuple[str, tuple[str, ...], int]]:
+    """Blocks under the element that holds most text itself."""
+    sizes: dict[tuple[str, ...], int] = {}
+    for text, path, _ in blocks:
+        sizes[path[:-1]] = sizes.get(path[:-1], 0) + len(text)
+    most = max(sizes, key=sizes.__getitem__)
+    return [block for block in blocks if block[1][:-1] == most]
+
+
 def _surveyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per page and element: the distinct styles and block texts, by code."""
+    """Per page and element: the distinct styles and block texts, by code; and the page's main blocks (``is_text`` null)."""
     for batch in batches:
         rows: list[tuple] = []
         for url, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -165,7 +178,8 @@ def _surveyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             blocks = page.candidates()
             if not blocks:
                 continue
-            host, own = host_of(url), _code(*sorted({text for text, _, _ in blocks}))
+            host, own = host_of(url), _code(host_of(url), *sorted({text for text, _, _ in blocks}))
+            rows.append((host, own, tuple(sorted({_code("text", text) for text, _, _ in _main(blocks)})), 0, None))
             rows += {(host, own, tuple(_ancestors(path)), _code("text", text), True) for text, path, _ in blocks}
             rows += {(host, own, (_code(*path),), _code("style", *children), False) for path, children in page.elements}
         columns = list(zip(*rows, strict=True)) or [()] * 5
@@ -176,14 +190,30 @@ def _surveyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _near_copies(sets: DataFrame) -> DataFrame:
+    """``page``, ``root`` of the pages that are near copies of another page of their host.
+
+    Pages meet by least hashes of their main blocks; each is compared with one page of a meeting.
+    """
+    codes = F.col("path").alias("codes")
+    least = [F.xxhash64("host", F.lit(k), F.array_min(F.transform("codes", lambda c, k=k: F.xxhash64(c, F.lit(k))))) for k in range(HASHES)]
+    keys = sets.select("host", "page", codes).select("page", "codes", F.explode(F.array(*least)).alias("key"))
+    hubs = keys.groupBy("key").agg(F.min("page").alias("hub"), F.min_by("codes", "page").alias("hub_codes"), F.count("*").alias("met"))
+    met = keys.join(hubs.where("met > 1").drop("met"), "key").where("page <> hub")
+    near = F.size(F.array_intersect("codes", "hub_codes")) >= NEAR * F.size(F.array_union("codes", "hub_codes"))
+    return components(met.where(near).select(F.col("page").alias("a"), F.col("hub").alias("b"))).toDF("page", "root")
+
+
 def style_tree(pages: DataFrame) -> DataFrame:
     """``host``, ``element``, ``pages``, ``importance`` (0 to 1) of each element of each host's tree.
 
-    Pages of the same texts count as one, so copies do not make an article look like a template.
+    Copies and near copies count as one page, so they do not make an article look like a template.
     Everything is counted by partial aggregates; a host's size is no matter.
     """
     seen = pages.select("url", "html").mapInArrow(_surveyed, "host string, page long, path array<long>, feature long, is_text boolean")
-    seen = stored(seen, "survey")
+    seen = stored(seen.distinct(), "survey")
+    copies = _near_copies(seen.where("is_text is null"))
+    seen = seen.where("is_text is not null").join(copies, "page", "left").withColumn("page", F.coalesce("root", "page")).drop("root")
     element = F.element_at("path", -1).alias("element")
     spread = seen.select("host", "page", "path", element, "feature", "is_text").distinct()
     spread = spread.groupBy("host", "path", "element", "feature", "is_text").agg(F.count("*").alias("pages"))
@@ -212,6 +242,9 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if templates:
                 gone = set(templates)
                 kept = [block for block in blocks if gone.isdisjoint(_ancestors(block[1]))]
+                if blocks and not kept:
+                    # No declared article goes as a whole, and no page's last content.
+                    kept = blocks if blocks[0][2] == 2 else _main(blocks)
             texts.append("\n\n".join(text for text, _, _ in kept))
             removed.append(len(blocks) - len(kept))
         yield pa.RecordBatch.from_arrays(
@@ -224,7 +257,8 @@ def main_text(pages: DataFrame, least: float = LEAST, enough: int = PAGES) -> Da
     """``page_id``, ``url``, ``text``, ``n_chars``, ``n_removed`` (blocks under template branches) of each page.
 
     A branch is a template if its importance is under ``least`` over ``enough`` different pages
-    of its host or more. Null, empty or tag-only pages have an empty text; broken markup is read
+    of its host or more, near copies taken as one. If all of a page would go, a declared article
+    stays whole, and of other pages the blocks of the element with most text. Null, empty or tag-only pages have an empty text; broken markup is read
     as browsers do: open elements end where another block must begin. A url without a host
     belongs to the host of no name. Each row has its own result, repeated rows and null ids
     included; an empty table gives no rows; other columns are not read. Pages are read whole.

@@ -351,6 +351,25 @@ def test_main_text(spark):
     assert Page("<p>a</div><b>b</p>c").candidates()[0][0] == "a"
 
 
+def test_main_text_of_near_copies(spark):
+    shared = "".join(f"<p>Shared paragraph {k}</p>" for k in range(20))
+    page = "<body><div class='meta'>Day {i}</div><{tag}>{shared}<p>Revision {i} of {name}</p></{tag}></body>"
+    rows = [(i, "http://a.example.com/", page.format(i=i, tag="article", name="a", shared=shared)) for i in range(4)]
+    rows += [(10 + i, "http://b.example.com/", page.format(i=i, tag="div", name="b", shared=shared)) for i in range(4)]
+    # Near copies beside articles of their own, and a true template on each page.
+    own = [(20 + i, shared if i < 6 else "".join(f"<p>Own {i} {k}</p>" for k in range(6))) for i in range(11)]
+    rows += [(n, "http://c.example.com/", page.format(i=n, tag="div", name="c", shared=x).replace("</body>", "<section><p>Buy now</p></section></body>")) for n, x in own]
+    # One long block that all pages share in a declared article.
+    rows += [(40 + i, "http://d.example.com/", f"<article><p>{'Same words ' * 9}</p></article><p>{i}") for i in range(5)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r.page_id: r.text for r in main_text(frame).collect()}
+    for i in (*range(4), *range(10, 14), *range(20, 26)):
+        assert found[i].count("Shared paragraph") == 20 and "Revision" in found[i], i
+    assert all(found[i].count("Own") == 6 and "Revision" in found[i] for i in range(26, 31))
+    assert not any("Buy now" in found[i] for i in range(20, 31))
+    assert all("Same words" in found[40 + i] for i in range(5))
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
