@@ -2,7 +2,7 @@
 
 Strong findings (an assigned secret, an access identifier, a long hexadecimal run) are reported
 wherever they are. Identifiers, keys and endpoints that mean nothing alone are reported only if
-the parts that complete them start in the same scope, found by an interval join over the
+the parts that complete them end or start within the scope, found by an interval join over the
 positions in a text: a running window, so a text's candidates are sorted once and never paired.
 """
 
@@ -76,10 +76,14 @@ def secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     spans = rows.select("row", "doc_id", F.explode_outer("found").alias("x")).select("row", "doc_id", "x.*")
     before = Window.partitionBy("row", "kind").orderBy("number")
     spans = spans.repartition("row").withColumn("end", F.sum(F.col("gap") + F.col("size")).over(before)).withColumn("start", F.col("end") - F.col("size"))
-    near = Window.partitionBy("row").orderBy("start").rangeBetween(-scope, scope)
+    earlier, later = (Window.partitionBy("row").orderBy(order).rangeBetween(Window.unboundedPreceding, 0) for order in (F.asc("start"), F.desc("start")))
 
     def has(*kinds: int) -> Column:
-        return F.max(F.col("good") & F.col("kind").isin(*kinds)).over(near)
+        """A part of these kinds ends at most ``scope`` before the span starts, or starts at most so far after it ends."""
+        part = F.col("good") & F.col("kind").isin(*kinds)
+        before = F.max(F.when(part, F.col("end"))).over(earlier) >= F.col("start") - scope
+        after = F.min(F.when(part, F.col("start"))).over(later) <= F.col("end") + scope
+        return F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False))
 
     spans = spans.select("*", has(0, 2, 4).alias("secret"), has(1, 3).alias("name"))
     reported = F.col("good") & (

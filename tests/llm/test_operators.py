@@ -185,6 +185,13 @@ def test_secrets_equal_plain_scan(spark, texts, odd):
     assert [r.spans for r in secrets(odd).collect()] == [""] * len(ODD)
 
 
+def test_secrets_link_across_long_parts(spark):
+    long = "token=" + "abcdefghij" * 40
+    rows = [(1, f"{long} user=bob"), (2, f"user=bob {long}"), (3, f"{long} {'x ' * 200} user=bob"), (4, f"{long} user=bob https://h.example.com/a")]
+    found = {r.doc_id: r.n_linked for r in secrets(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found == {1: 1, 2: 1, 3: 0, 4: 2}
+
+
 def counted(text):
     found = re.findall(r"[^\x20\x09-\x0D]+", text)
     windows = collections.Counter(zip(found, found[1:], found[2:]))
