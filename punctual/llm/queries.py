@@ -14,7 +14,9 @@ from punctual.llm.html_text import main_text
 from punctual.llm.jaccard_join import similar_documents
 from punctual.llm.pii import pseudonymised
 from punctual.llm.quality import quality
+from punctual.llm.ranked_search import best_documents
 from punctual.llm.secrets import secrets
+from punctual.llm.statements import RANKED_SEARCH
 from punctual.llm.toxicity import held_out, toxicity, trained
 
 
@@ -71,6 +73,10 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudo_likelihood.scored(docs, pseudo_likelihood.trained(docs))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -82,6 +88,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_language_id": op9_language_id,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_ranked_search": op11_ranked_search,
 }
 
-STATEMENTS: dict[str, str] = {}
+STATEMENTS: dict[str, str] = {
+    "op11_ranked_search": RANKED_SEARCH,
+}
