@@ -13,6 +13,7 @@ from punctual.llm.decontaminate import contained_items
 from punctual.llm.html_text import main_text
 from punctual.llm.jaccard_join import similar_documents
 from punctual.llm.pii import pseudonymised
+from punctual.llm.prefix_trie import prefix_trie
 from punctual.llm.quality import quality
 from punctual.llm.ranked_search import best_documents
 from punctual.llm.secrets import secrets
@@ -77,6 +78,10 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -89,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_lm_scoring": op10_lm_scoring,
     "op11_ranked_search": op11_ranked_search,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 STATEMENTS: dict[str, str] = {
