@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from punctual.llm.bpe import encoded
+from punctual.llm.cap_filters import near_duplicates
 from punctual.llm import language, pseudo_likelihood
 from punctual.llm.decontaminate import contained_items
 from punctual.llm.html_text import main_text
@@ -78,6 +79,10 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_lm_scoring": op10_lm_scoring,
     "op11_ranked_search": op11_ranked_search,
+    "op12_embedding_near_dedup": op12_embedding_near_dedup,
     "op13_conversation_trie": op13_conversation_trie,
 }
 
