@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +12,7 @@ from punctual.fixed_values import Period
 from punctual.functions import mean, rounded, share
 from punctual.functions.times import DAY, micros
 from punctual.operators.histogram import all_rows, running
-from punctual.operators.percentiles import group_percentile, percentile
+from punctual.operators.percentiles import group_percentile, group_percentiles, percentile
 from punctual.operators.sample import APPROVED, CARRIER, PURCHASE, RECEIVED
 
 def late() -> Column:
@@ -138,7 +139,6 @@ def stage_breakdown(sample: DataFrame, months: Period, point: float = 0.9) -> Da
     for bound in (months.start, months.end):
         if bound.day != 1:
             raise ValueError(f"not the first of a month: {bound}")
-    purchase, approved, carrier, received = map(F.col, (PURCHASE, APPROVED, CARRIER, RECEIVED))
     window = sample.filter(in_months(months.start, months.end))
     counted = window.groupBy("purchase_month").agg(
         F.count("*").alias("orders_count"),
@@ -149,11 +149,7 @@ def stage_breakdown(sample: DataFrame, months: Period, point: float = 0.9) -> Da
     stages = group_percentile(
         window,
         "purchase_month",
-        {
-            "p90_approve_days": micros(purchase, approved),
-            "p90_handover_days": F.when(carrier >= approved, micros(approved, carrier)),
-            "p90_transit_days": F.when(received >= carrier, micros(carrier, received)),
-        },
+        {f"p90_{name}_days": length for name, length in stage_lengths().items()},
         point,
     )
     by_month = stages.groupBy("purchase_month").agg(*(
@@ -172,6 +168,35 @@ def stage_breakdown(sample: DataFrame, months: Period, point: float = 0.9) -> Da
     )
 
 
+def stage_lengths() -> dict[str, Column]:
+    """Microseconds of each stage; a stage out of order has none, but for the approval."""
+    purchase, approved, carrier, received = map(F.col, (PURCHASE, APPROVED, CARRIER, RECEIVED))
+    return {
+        "approve": micros(purchase, approved),
+        "handover": F.when(carrier >= approved, micros(approved, carrier)),
+        "transit": F.when(received >= carrier, micros(carrier, received)),
+    }
+
+
+def stage_spread(sample: DataFrame, *by: str, points: Sequence[float] = (0.1, 0.5, 0.9)) -> DataFrame:
+    """Percentiles of each stage per group, in days, as columns such as ``p50_transit_days``.
+
+    All points and stages share one histogram of cells, so a group of any size costs counts.
+    A group without any stage has no row in the percentiles; its columns are NULL.
+    """
+    counted = sample.groupBy(*by).agg(F.count("*").alias("orders_count"))
+    spread = group_percentiles(sample, by, stage_lengths(), points)
+    names = {(name, point): f"p{point * 100:g}_{name}_days" for name in stage_lengths() for point in points}
+    wide = spread.groupBy(*by).agg(*(
+        rounded(
+            F.max(F.when((F.col("measure") == name) & (F.col("point") == point), F.col("value"))) / F.lit(float(DAY)), 2
+        ).alias(column)
+        for (name, point), column in names.items()
+    ))
+    same = [counted[key].eqNullSafe(wide[key]) for key in by]
+    return counted.join(wide, same, "left").select(*(counted[key] for key in by), "orders_count", *names.values())
+
+
 def in_months(start: date, end: date) -> Column:
     """Purchase months in ``[start, end)``, as bounds on the month and on the stored moment."""
     month, purchase = F.col("purchase_month"), F.col(PURCHASE)
