@@ -86,5 +86,11 @@ QUERIES: dict[str, Query] = {
     "x7_order_payments": lines.order_payments,
     "x8_handover_by_payment": lines.handover_by_payment,
     "x9_buffer_by_state": sla.buffer_by_state,
+    "a4_distinct_per_review": quality.distinct_per_review,
+    "a4_distinct_per_status": quality.distinct_per_status,
+    "a8_stage_spread": sla.stage_spread,
+    "d20_transit_by_cycle": sla.transit_dominates_by_cycle,
+    "s4_newest_references": constraints.newest_report,
+    "x5_delivery_by_volume": lines.delivery_by_volume,
     "x10_late_by_handover": lines.late_by_handover,
 }

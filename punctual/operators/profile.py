@@ -121,3 +121,28 @@ def repeat_pattern(df: DataFrame, key: str, within: str, several: str = SEVERAL_
         .groupBy(F.when(F.col("least") < F.col("most"), several).otherwise(same).alias("pattern"))
         .agg(F.count("*").alias("review_ids"))
     )
+
+
+def distinct_counts(df: DataFrame, by: Sequence[str], columns: Mapping[str, str], count: str = "rows") -> DataFrame:
+    """Rows of each group and number of distinct values of each column; NULL is no value.
+
+    ``columns`` maps an output name to the column it counts. In the first step rows are reduced
+    to one for each group, column and value, in the tasks and then by these three, so that even a
+    group with most of the rows is spread over all tasks. The second step adds up counts. All
+    columns go through the same two shuffles; values are compared as text, which tells apart all that
+    numbers, dates, moments, booleans and texts can hold. A NULL key is a group of its own.
+    """
+    items = [F.struct(F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("value"))]
+    items += [
+        F.struct(F.lit(name).alias("name"), F.col(column).cast("string").alias("value")) for name, column in columns.items()
+    ]
+    single = (
+        df.select(*by, F.explode(F.array(*items)).alias("item"))
+        .filter(F.col("item.name").isNull() | F.col("item.value").isNotNull())
+        .groupBy(*by, "item.name", "item.value")
+        .agg(F.count("*").alias("n"))
+    )
+    return single.groupBy(*by).agg(
+        F.coalesce(F.sum(F.when(F.col("name").isNull(), F.col("n"))), F.lit(0)).alias(count),
+        *(F.count_if(F.col("name") == name).alias(name) for name in columns),
+    )

@@ -58,14 +58,16 @@ def reconcile_sheets(joined: DataFrame, sample: DataFrame, month: str = "purchas
     """Totals of the order sheet, of its month and state summaries, and of the sample.
 
     ``joined`` is the sample left-joined with one review per order. The first three rows
-    come from one pass over it, as grouping sets; the last row counts the sample without
-    the join, so equal totals prove that the join multiplied nothing.
+    come from one pass over it: its counts by month and state, of which the grouping sets
+    are made. The last row counts the sample without the join, so equal totals prove that the
+    join multiplied nothing.
     """
     which = F.grouping_id().alias("level")
-    groups = joined.groupingSets([[], [F.col(month)], [F.col(state)]], F.col(month), F.col(state)).agg(
-        which,
-        F.count("*").alias("orders_count"),
-        F.count_if(F.col("is_late")).alias("late_orders_count"),
+    counts = joined.groupBy(month, state).agg(
+        F.count("*").alias("orders_count"), F.count_if(F.col("is_late")).alias("late_orders_count")
+    )
+    groups = counts.groupingSets([[], [F.col(month)], [F.col(state)]], F.col(month), F.col(state)).agg(
+        which, F.sum("orders_count").alias("orders_count"), F.sum("late_orders_count").alias("late_orders_count")
     )
     # grouping_id has a bit per column left out: 3 = neither column, 1 = by month, 2 = by state.
     levels = {"flat table of orders": 3, "total by month": 1, "total by state": 2}

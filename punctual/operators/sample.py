@@ -14,6 +14,8 @@ APPROVED = "order_approved_at"
 CARRIER = "order_delivered_carrier_date"
 RECEIVED = "order_delivered_customer_date"
 ESTIMATE = "order_estimated_delivery_date"
+# Orders that carry their customer's state and city say here whether there is such a customer.
+CUSTOMER_FOUND = "customer_found"
 
 
 def bought_in(start, end) -> Column:
@@ -48,12 +50,16 @@ def delivered_orders(orders: DataFrame, customers: DataFrame, period: Period, st
 
     The customer is matched by key, as an order without one is left out. Columns that a
     query does not use are pruned through the join, so it only carries what is needed.
+    Orders that were stored with their customer's places (``customer_found``) need no join.
     """
     kept = orders.filter(
         (F.col("order_status") == status) & F.col(RECEIVED).isNotNull() & bought_in(period.start, period.end)
     )
-    places = customers.select("customer_id", "customer_state", "customer_city")
-    return with_measures(kept.join(places, "customer_id")).select(
+    if CUSTOMER_FOUND in orders.columns:
+        placed = kept.filter(CUSTOMER_FOUND)
+    else:
+        placed = kept.join(customers.select("customer_id", "customer_state", "customer_city"), "customer_id")
+    return with_measures(placed).select(
         "order_id",
         "customer_state",
         "customer_city",

@@ -6,7 +6,9 @@ join never multiplies them. Results over items (sellers, products, lanes) join t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from punctual.functions import Buckets, rounded, share
@@ -17,8 +19,9 @@ from punctual.operators.sample import APPROVED, CARRIER
 from punctual.plans.sla import sample
 from punctual.sources.model import Model
 
-# Grams of all items of an order.
+# Grams and cubic centimetres of all items of an order.
 WEIGHT_BUCKETS = Buckets(edges=(1000, 2500, 5000, 10000, 20000))
+VOLUME_BUCKETS = Buckets(edges=(20000, 50000, 100000, 150000, 250000))
 
 
 def order_freight(model: Model) -> DataFrame:
@@ -74,20 +77,34 @@ def people(model: Model) -> DataFrame:
 
 def delivery_by_weight(model: Model) -> DataFrame:
     """Delivery time by the total weight of the order's items."""
-    weights = model["products"].select("product_id", "product_weight_g")
+    return _delivery_by(model, "grams", F.col("product_weight_g"), WEIGHT_BUCKETS)
+
+
+def delivery_by_volume(model: Model) -> DataFrame:
+    """Delivery time by the total volume of the order's items, as length by height by width.
+
+    A product that lacks a measure adds nothing; an order of such products alone is in the last bucket.
+    """
+    sides = (F.col(f"product_{side}_cm").cast("bigint") for side in ("length", "height", "width"))
+    return _delivery_by(model, "cubic_cm", reduce(Column.__mul__, sides), VOLUME_BUCKETS)
+
+
+def _delivery_by(model: Model, name: str, size: Column, buckets: Buckets) -> DataFrame:
+    """Delivery time by the sum of a product measure over the order's items."""
+    sizes = model["products"].select("product_id", size.alias("size"))
     per_order = (
         model["order_items"]
         .select("order_id", "product_id")
-        .join(weights, "product_id")
+        .join(sizes, "product_id")
         .groupBy("order_id")
-        .agg(F.sum("product_weight_g").alias("grams"))
+        .agg(F.sum("size").alias("size"))
     )
-    weighed = sample(model).join(per_order, "order_id")
-    number = WEIGHT_BUCKETS.number(F.col("grams")).alias("bucket_no")
+    number = buckets.number(F.col("size")).alias("bucket_no")
     return (
-        weighed.groupBy(number)
+        sample(model).join(per_order, "order_id")
+        .groupBy(number)
         .agg(*metrics.delivery_measures())
-        .withColumn("grams", WEIGHT_BUCKETS.label(F.col("bucket_no")))
+        .withColumn(name, buckets.label(F.col("bucket_no")))
         .orderBy("bucket_no")
         .drop("bucket_no")
     )

@@ -241,3 +241,19 @@ def review_order_pairs(model: Model) -> DataFrame:
     """Whether (review, order) identifies a review row: pairs, and pairs that repeat."""
     pairs = profile.multiplicity(model["order_reviews"], "review_id", "order_id")
     return pairs.select("total", F.col("once").alias("pairs_once"), F.col("repeated").alias("pairs_repeated"))
+
+
+def distinct_per_review(model: Model) -> DataFrame:
+    """Rows, distinct orders, scores and dates of each review id."""
+    return profile.distinct_counts(
+        model["order_reviews"], ["review_id"],
+        {"orders": "order_id", "scores": "review_score", "dates": "review_creation_date"}, "reviews",
+    )
+
+
+def distinct_per_status(model: Model) -> DataFrame:
+    """Orders, distinct customers and distinct purchase days of each status: few groups, most rows in one."""
+    orders = model["orders"].withColumn("purchase_day", F.to_date("order_purchase_timestamp"))
+    return profile.distinct_counts(
+        orders, ["order_status"], {"customers": "customer_id", "purchase_days": "purchase_day"}, "orders_count"
+    )

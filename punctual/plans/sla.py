@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from punctual.fixed_values import Period
@@ -25,9 +25,10 @@ def sample(model: Model, within: Period | None = None) -> DataFrame:
         return model.prepared()
     period = model.calendar.period
     near = within or period
-    return delivered_orders(
-        model.orders_near(max(period.start, near.start), min(period.end, near.end)), model["customers"], period
+    orders = model.placed() if model.placed is not None else model.orders_near(
+        max(period.start, near.start), min(period.end, near.end)
     )
+    return delivered_orders(orders, model["customers"], period)
 
 
 def view(model: Model) -> DataFrame:
@@ -79,6 +80,11 @@ def stages(model: Model) -> DataFrame:
     return metrics.stage_breakdown(sample(model, months), months).orderBy(F.asc_nulls_last("purchase_month"))
 
 
+def stage_spread(model: Model) -> DataFrame:
+    """10th, 50th and 90th percentile of each stage per month and state."""
+    return metrics.stage_spread(sample(model), "purchase_month", "customer_state")
+
+
 # --- Figures the analysis quotes without a query of their own ----------------
 
 
@@ -270,10 +276,7 @@ def order_weight(model: Model) -> DataFrame:
 
 def transit_dominates(model: Model, min_share: float = 0.5) -> DataFrame:
     """Orders that spend more than ``min_share`` of their cycle in transit, late and not."""
-    purchase, carrier, received = map(F.col, (PURCHASE, CARRIER, RECEIVED))
-    dominated = F.col("transit_days").isNotNull() & (
-        micros(carrier, received) > F.lit(min_share) * micros(purchase, received)
-    )
+    dominated = _dominated(min_share)
     return (
         sample(model)
         .groupBy("is_late")
@@ -285,6 +288,28 @@ def transit_dominates(model: Model, min_share: float = 0.5) -> DataFrame:
     )
 
 
+def transit_dominates_by_cycle(model: Model, min_share: float = 0.5) -> DataFrame:
+    """The same within strata of equal cycle length, where late and punctual orders can be compared.
+
+    Late orders have longer cycles, and long cycles are mostly transit; a stratum of delivery
+    time holds that constant. The weight of a stratum is its share of all orders, late or not.
+    """
+    number = DELIVERY_BUCKETS.number(F.col("delivery_days")).alias("bucket_no")
+    strata = sample(model).groupBy(number, "is_late").agg(
+        F.count("*").alias("orders_count"), F.count_if(_dominated(min_share)).alias("transit_dominates")
+    )
+    weight = share(F.sum("orders_count").over(Window.partitionBy("bucket_no")), F.sum("orders_count").over(all_rows()))
+    return strata.withColumn("stratum_pct", weight).orderBy("bucket_no", "is_late").select(
+        DELIVERY_BUCKETS.label(F.col("bucket_no")).alias("bucket"), "is_late", "orders_count", "transit_dominates",
+        share(F.col("transit_dominates"), F.col("orders_count")).alias("transit_dominates_pct"), "stratum_pct",
+    )
+
+
+def _dominated(min_share: float) -> Column:
+    purchase, carrier, received = map(F.col, (PURCHASE, CARRIER, RECEIVED))
+    return F.col("transit_days").isNotNull() & (micros(carrier, received) > F.lit(min_share) * micros(purchase, received))
+
+
 def buffer_by_state(model: Model) -> DataFrame:
     """Days to spare per state."""
     return metrics.buffer(sample(model), "customer_state").orderBy(F.asc_nulls_last("customer_state"))

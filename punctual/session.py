@@ -15,15 +15,19 @@ SETTINGS = {
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """The shared folder that the cluster names for intermediate tables.
-
-    """
+    """The shared folder that the cluster names for intermediate tables."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder.rstrip("/")
     raise ValueError("spark.checkpoint.dir is not set; pass a path on shared storage")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the file system that its path names."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def local_session(cores: int | str = "*", **settings: str) -> SparkSession:
     """A session for tests and the benchmark; on a cluster use the session it gives you."""
     builder = (

@@ -17,16 +17,20 @@ CSV_FILES = {table: f"{table}.csv" for table in SCHEMAS}
 # Only review comments may hold line breaks; every other table stays splittable.
 MULTILINE_TABLES = frozenset({"order_reviews"})
 
+# How fields are quoted, and how an empty field differs from a quoted empty one.
+CSV_DIALECT = {"quote": '"', "escape": '"', "emptyValue": "", "nullValue": "\u0000"}
+
 
 def parsed_whole(rows: DataFrame) -> DataFrame:
     """The same rows of a CSV, with every field of every row converted whatever a query asks for.
 
     Spark converts only the columns in use, so a bad field may pass unseen: the hash, which is
     always at least the least long, uses them all. It also leaves a row that a pushed filter
-    rules out half read, which the setting turns off for the session's CSV reads.
+    rules out half read. A filter on a column that is coalesced with itself cannot be pushed
+    into the parser, so no setting of the session is needed.
     """
-    rows.sparkSession.conf.set("spark.sql.csv.filterPushdown.enabled", "false")
-    return rows.filter(F.xxhash64(*(F.col(name) for name in rows.columns)) >= F.lit(-(1 << 63)))
+    whole = rows.filter(F.xxhash64(*(F.col(name) for name in rows.columns)) >= F.lit(-(1 << 63)))
+    return whole.select(*(F.coalesce(F.col(name), F.col(name)).alias(name) for name in rows.columns))
 
 
 def load_csv(spark: SparkSession, path: str, table: str, multiline: bool | None = None) -> DataFrame:
@@ -41,14 +45,12 @@ def load_csv(spark: SparkSession, path: str, table: str, multiline: bool | None
         .option("header", True)
         .option("enforceSchema", True)
         .option("multiLine", table in MULTILINE_TABLES if multiline is None else multiline)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("emptyValue", "")
-        .option("nullValue", "\u0000")
+        .options(**CSV_DIALECT)
         .option("mode", "FAILFAST")
         .csv(path)
     )
 
+
 def csv_to_parquet(spark: SparkSession, csv_dir: str, parquet_dir: str,
                    files: Mapping[str, str] = CSV_FILES, multiline: Mapping[str, bool] | None = None) -> None:
     """Replace the Parquet copy of every table with the content of its CSV.
@@ -59,10 +61,11 @@ def csv_to_parquet(spark: SparkSession, csv_dir: str, parquet_dir: str,
         load_csv(spark, f"{csv_dir}/{name}", table, (multiline or {}).get(table)).write.mode("overwrite").parquet(f"{parquet_dir}/{table}")
 
 
-def parquet_model(spark: SparkSession, parquet_dir: str, calendar: Calendar = Calendar()) -> Model:
-    """Tables written by ``csv_to_parquet``."""
+def parquet_model(spark: SparkSession, parquet_dir: str, calendar: Calendar = Calendar(),
+                  schemas: Mapping[str, StructType] = SCHEMAS) -> Model:
+    """Tables written by ``csv_to_parquet``, or others in folders of their names with their own ``schemas``."""
     return Model(
-        lambda table: spark.read.schema(SCHEMAS[table]).parquet(f"{parquet_dir}/{table}"),
+        lambda table: spark.read.schema(schemas[table]).parquet(f"{parquet_dir}/{table}"),
         calendar=calendar,
     )
 

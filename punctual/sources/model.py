@@ -35,6 +35,7 @@ class Model:
     ``opener(name)`` returns a whole table. ``orders_opener(start, end)``, where given,
     returns at least the orders bought in ``[start, end)`` (either may be None) and lets
     a source skip files that cannot hold any; the caller still filters on the purchase.
+    ``placed``, where given, opens the orders with their customers' places, which need no join.
     ``prepared``, where given, opens the sample that ``plans.prepared`` wrote.
     """
 
@@ -44,6 +45,7 @@ class Model:
     expected: Mapping[str, int] = field(default_factory=lambda: EXPECTED_ROWS)
     calendar: Calendar = Calendar()
     prepared: Callable[[], DataFrame] | None = None
+    placed: Callable[[], DataFrame] | None = None
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.opener(name)

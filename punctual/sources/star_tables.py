@@ -113,7 +113,9 @@ def _nations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _open(spark, sf_dir, "part").selectExpr(
-        "p_partkey AS product_id", "p_type AS product_category_name", "p_size * 100 AS product_weight_g"
+        "p_partkey AS product_id", "p_type AS product_category_name", "p_size * 100 AS product_weight_g",
+        "CAST(IF(p_partkey % 53 = 0, NULL, 10 + p_partkey % 61) AS INT) AS product_length_cm",
+        "CAST(2 + p_partkey * 7 % 47 AS INT) AS product_height_cm", "CAST(5 + p_partkey * 13 % 41 AS INT) AS product_width_cm",
     )
 
 

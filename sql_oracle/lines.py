@@ -4,6 +4,7 @@ from sql_oracle.model import bucket, cont, label, pct
 from sql_oracle.sla import _SIZES
 
 _WEIGHTS = (1000, 2500, 5000, 10000, 20000)
+_VOLUMES = (20000, 50000, 100000, 150000, 250000)
 
 LINES = {
     "x1_order_freight": """
@@ -30,6 +31,12 @@ LINES = {
             SELECT order_id, sum(product_weight_g) AS g FROM m_items JOIN m_products USING (product_id) GROUP BY ALL),
         placed AS (SELECT *, {bucket('g', _WEIGHTS)} AS bucket_no FROM delivered JOIN weighed USING (order_id))
         SELECT {label('bucket_no', _WEIGHTS)} AS grams, {_SIZES} FROM placed GROUP BY bucket_no ORDER BY bucket_no""",
+    "x5_delivery_by_volume": f"""
+        WITH sized AS (
+            SELECT order_id, sum(product_length_cm * product_height_cm * product_width_cm) AS v
+            FROM m_items JOIN m_products USING (product_id) GROUP BY ALL),
+        placed AS (SELECT *, {bucket('v', _VOLUMES)} AS bucket_no FROM delivered JOIN sized USING (order_id))
+        SELECT {label('bucket_no', _VOLUMES)} AS cubic_cm, {_SIZES} FROM placed GROUP BY bucket_no ORDER BY bucket_no""",
     "x6_lanes": f"""
         WITH origins AS (SELECT DISTINCT order_id, seller_state FROM m_items JOIN m_sellers USING (seller_id))
         SELECT seller_state, customer_state, {_SIZES}, {cont('promise_days', 0.5)} AS median_promise_days

@@ -33,7 +33,10 @@ m_sellers AS (
     SELECT s_suppkey AS seller_id, n_name AS seller_state FROM supplier JOIN nation ON s_nationkey = n_nationkey
 ),
 m_products AS (
-    SELECT p_partkey AS product_id, p_type AS product_category_name, p_size * 100 AS product_weight_g FROM part
+    SELECT p_partkey AS product_id, p_type AS product_category_name, p_size * 100 AS product_weight_g,
+           CASE WHEN p_partkey % 53 <> 0 THEN 10 + p_partkey % 61 END AS product_length_cm,
+           2 + p_partkey * 7 % 47 AS product_height_cm, 5 + p_partkey * 13 % 41 AS product_width_cm
+    FROM part
 ),
 m_translation AS (
     SELECT DISTINCT p_type AS product_category_name, lower(p_type) AS product_category_name_english

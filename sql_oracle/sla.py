@@ -29,7 +29,17 @@ _MONTHLY = """monthly AS (
     SELECT purchase_month, count(*) AS orders_count, count(*) FILTER (is_late) AS late_orders_count
     FROM delivered GROUP BY ALL)"""
 
+
+
+def _spread(name: str, column: str) -> str:
+    return ", ".join(f"{cont(column, point)} AS p{point * 100:g}_{name}_days" for point in (0.1, 0.5, 0.9))
+
+
 SLA = {
+    "a8_stage_spread": f"""
+        SELECT purchase_month, customer_state, count(*) AS orders_count, {_spread('approve', 'approve_hours / 24')},
+               {_spread('handover', 'handover_days')}, {_spread('transit', 'transit_days')}
+        FROM delivered GROUP BY ALL""",
     "v_delivered_orders": "SELECT * EXCLUDE (promise_days) FROM delivered",
     "q02a_view_check": """
         SELECT count(*) AS total, count(*) - count(order_approved_at) AS approved_null,
@@ -142,6 +152,19 @@ SLA = {
                    AS transit_dominates,
                {pct("transit_dominates", 'count(*)')} AS transit_dominates_pct
         FROM delivered GROUP BY ALL""",
+    "d20_transit_by_cycle": f"""
+        WITH strata AS (
+            SELECT {bucket('delivery_days')} AS bucket_no, is_late, count(*) AS orders_count,
+                   count(*) FILTER (transit_days IS NOT NULL AND
+                       2 * date_diff('microsecond', order_delivered_carrier_date, order_delivered_customer_date)
+                       > date_diff('microsecond', order_purchase_timestamp, order_delivered_customer_date))
+                       AS transit_dominates
+            FROM delivered GROUP BY ALL),
+        weighed AS (SELECT *, CAST(sum(orders_count) OVER (PARTITION BY bucket_no) AS BIGINT) AS stratum,
+                           CAST(sum(orders_count) OVER () AS BIGINT) AS everything FROM strata)
+        SELECT {label('bucket_no')} AS bucket, is_late, orders_count, transit_dominates,
+               {pct('transit_dominates', 'orders_count')} AS transit_dominates_pct, {pct('stratum', 'everything')} AS stratum_pct
+        FROM weighed ORDER BY bucket_no, is_late""",
     "x9_buffer_by_state": f"""
         SELECT customer_state, {_BUFFER} FROM delivered WHERE NOT is_late GROUP BY ALL ORDER BY customer_state""",
 }
