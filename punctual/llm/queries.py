@@ -18,7 +18,7 @@ from punctual.llm.prefix_trie import prefix_trie
 from punctual.llm.quality import quality
 from punctual.llm.ranked_search import best_documents
 from punctual.llm.secrets import secrets
-from punctual.llm.statements import RANKED_SEARCH
+from punctual.llm.statements import CONVERSATION_TRIE, NEAR_DUPLICATES, RANKED_SEARCH
 from punctual.llm.toxicity import held_out, toxicity, trained
 
 
@@ -105,4 +105,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 STATEMENTS: dict[str, str] = {
     "op11_ranked_search": RANKED_SEARCH,
+    "op12_embedding_near_dedup": NEAR_DUPLICATES,
+    "op13_conversation_trie": CONVERSATION_TRIE,
 }
