@@ -10,13 +10,16 @@ that half may be, which is a permutation whatever the halves' sizes.
 from __future__ import annotations
 
 import re
+from secrets import token_hex
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from punctual.llm.native import bound, pieces
 
 ROUNDS = 8
+#: Session setting that holds the key.
+KEY_SETTING = "spark.punctual.pseudonymKey"
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+(?<=\.[A-Za-z]{2,24})"
 ADDRESS = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)"
@@ -37,8 +40,12 @@ FORMS = r"^(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,4}|\d{4}([ -])\d{6}\2\d{4,
 PARTS = (1, 4, 3, 5)
 #: Cards in other groups: one separator throughout, no group of fewer than three digits.
 LOOSE, LOOSE_PARTS = r"^\d{3,}(?:([ -])\d{3,}(?:\1\d{3,})*)$", (2, 3, 4, 5, 6)
-#: Days that dates are permuted among: 1900-01-01 to 2099-12-31, 319 times 229 of them.
-FIRST_DAY, DAYS = "1900-01-01", (319, 229)
+#: Years that dates are permuted among.
+FIRST_YEAR, YEARS = 1900, 200
+#: Turns in which a date of the grid of years, months and days that isn't in the calendar is permuted again. Under 1 in 20 isn't.
+WALK = 14
+# International calling codes of one and two digits; all others have three.
+CODE = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}|\d{1,3}(?=[ .(-]))"
 
 
 def _mixed(key: str, kind: str, turn: Column, value: Column) -> Column:
@@ -166,15 +173,24 @@ def _cards(match: Column, key: str) -> Column:
 
 
 def _phone(match: Column, key: str) -> Column:
-    """The country code stays, the other digits are permuted."""
-    code = F.regexp_extract(match, r"^\+\d{1,3}(?=[ .(-])", 0)
+    """The country code stays, the other digits are permuted, so a number is the same however it is grouped."""
+    code = F.regexp_extract(match, CODE, 0)
     rest = match.substr(F.length(code) + 1, F.length(match))
     return F.concat(code, bound(_digits(_only_digits(rest), key, "phone"), lambda d: _dealt(rest, d)))
 
 
 def _social(match: Column, key: str) -> Column:
+    """Assignable numbers are permuted among themselves: areas but 000, 666 and 9xx, no group 00, no serial 0000."""
     valid = ~match.rlike("^(?:000|666|9)|-00-|-0000$")
-    return F.when(valid, bound(_digits(_only_digits(match), key, "social"), lambda d: _dealt(match, d))).otherwise(match)
+    area, group, serial = (F.try_to_number(match.substr(at, n), F.lit("9" * n)).cast("long") for at, n in ((1, 3), (5, 2), (8, 4)))
+    left = area - F.when(area > 666, 2).otherwise(1)
+    halves = _feistel(left, (group - 1) * 9999 + serial - 1, (F.lit(898).cast("long"), F.lit(99 * 9999).cast("long")), key, "social")
+
+    def written(x: Column) -> Column:
+        parts = ((x["l"] + F.when(x["l"] >= 665, 2).otherwise(1), 3), (F.floor(x["r"] / 9999) + 1, 2), (x["r"] % 9999 + 1, 4))
+        return F.concat_ws("-", *(F.lpad(value.cast("string"), width, "0") for value, width in parts))
+
+    return F.when(valid, bound(halves, written)).otherwise(match)
 
 
 def _address(match: Column, key: str) -> Column:
@@ -190,32 +206,74 @@ def _address(match: Column, key: str) -> Column:
 
 
 def _date(match: Column, key: str) -> Column:
-    """Valid dates of the two centuries move to another day of them, in the same order and width."""
+    """Valid dates of the two centuries move to another date of the same notation: order, widths and reading.
+
+    A notation is a grid of years, months and days: day and month of one digit stay below ten, one of two digits
+    beside one of a single digit keeps its leading zero or has none, and days of dates that can only be
+    read month first stay above twelve, so that they are read so again. The grid is permuted, and
+    again from where that led, until the date exists: on valid dates that is a permutation.
+    """
 
     def moved(parts: Column) -> Column:
         year_first = F.length(parts[0]) == 4
         # Of two possible readings of the ambiguous form, day first is tried before month first.
         forms = [(parts[0], parts[1], parts[2]), (parts[2], parts[1], parts[0]), (parts[2], parts[0], parts[1])]
-        days = [F.try_to_date(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd") for y, m, d in forms]
         mark = F.regexp_extract(match, "[-/.]", 0)
-        month_first = ~year_first & days[1].isNull()
-        day = F.when(year_first, days[0]).otherwise(F.coalesce(days[1], days[2]))
-        number = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
-        sizes = [F.lit(size).cast("long") for size in DAYS]
-        halves = _feistel(F.floor(number / DAYS[1]), number % DAYS[1], (sizes[0], sizes[1]), key, "date")
-
-        def written(new: Column) -> Column:
-            year, month, dom = (F.date_format(new, form) for form in ("yyyy", "MM", "dd"))
-            return F.when(year_first, F.concat(year, mark, month, mark, dom)).when(month_first, F.concat(month, mark, dom, mark, year)).otherwise(
-                F.concat(dom, mark, month, mark, year)
-            )
-
-        new = bound(halves, lambda x: F.date_add(F.lit(FIRST_DAY).cast("date"), (x["l"] * DAYS[1] + x["r"]).cast("int")))
-        return F.when((number >= 0) & (number < DAYS[0] * DAYS[1]), bound(new, written)).otherwise(match)
+        month_first = ~year_first & _day(*forms[1]).isNull()
+        form = F.when(year_first, _triple(*forms[0])).when(month_first, _triple(*forms[2])).otherwise(_triple(*forms[1]))
+
+        def read(own: Column) -> Column:
+            day_from, day_to = _range(own["d"], own["m"], 31)
+            month_from, month_to = _range(own["m"], own["d"], 12)
+            least = F.when(month_first, 13).otherwise(day_from)
+            days = day_to - least + 1
+            least_month = F.when(month_first, 1).otherwise(month_from)
+            months = F.when(month_first & (F.length(own["m"]) == 2), 12).otherwise(month_to) - least_month + 1
+            sizes = (F.lit(YEARS).cast("long"), (months * days).cast("long"))
+
+            def date_of(x: Column) -> tuple[Column, Column, Column]:
+                month, day = F.floor(x["r"] / days) + least_month, x["r"] % days + least
+                return (x["l"] + FIRST_YEAR).cast("string"), month.cast("string"), day.cast("string")
+
+            def again(x: Column, _: Column) -> Column:
+                return F.when(_day(*date_of(x)).isNotNull(), x).otherwise(_feistel(x["l"], x["r"], sizes, key, "date"))
+
+            def written(x: Column) -> Column:
+                year, month, day = date_of(x)
+                month, day = F.lpad(month, F.length(own["m"]), F.lit("0")), F.lpad(day, F.length(own["d"]), F.lit("0"))
+                return F.when(year_first, F.concat(year, mark, month, mark, day)).when(month_first, F.concat(month, mark, day, mark, year)).otherwise(
+                    F.concat(day, mark, month, mark, year)
+                )
+
+            number = (own["m"].cast("int") - least_month) * days + own["d"].cast("int") - least
+            first = _feistel(own["y"].cast("int") - FIRST_YEAR, number, sizes, key, "date")
+            # A walk that is still outside the calendar has not been seen and would leave the date as it is.
+            walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), first, again)
+            return bound(walked, lambda x: F.when(_day(*date_of(x)).isNotNull(), written(x)).otherwise(match))
+
+        valid = bound(form, lambda own: F.when(
+            _day(own["y"], own["m"], own["d"]).isNotNull() & own["y"].between(str(FIRST_YEAR), str(FIRST_YEAR + YEARS - 1)), read(own)
+        ).otherwise(match))
+        return valid
 
     return bound(F.split(match, "[-/.]"), moved)
 
 
+def _range(part: Column, other: Column, most: int) -> tuple[Column, Column]:
+    """Least and greatest value that a day or month can take in its notation."""
+    short, zero, mixed = F.length(part) == 1, part.startswith("0"), F.length(other) == 1
+    return F.when(mixed & ~short & ~zero, 10).otherwise(1), F.when(short | (mixed & zero), 9).otherwise(most)
+
+
+def _triple(y: Column, m: Column, d: Column) -> Column:
+    return F.struct(y.alias("y"), m.alias("m"), d.alias("d"))
+
+
+def _day(y: Column, m: Column, d: Column) -> Column:
+    """The date, or NULL if there is none."""
+    return F.try_to_date(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
+
+
 def _email(match: Column, key: str) -> Column:
     """Letters and digits of the local part become others of their kind; the domain stays."""
 
@@ -260,15 +318,22 @@ def _renamed(match: Column, key: str) -> Column:
     )
 
 
-def pseudonymised(docs: DataFrame, key: str = "punctual") -> DataFrame:
+def key_of(spark: SparkSession) -> str:
+    """The session's key, ``spark.punctual.pseudonymKey``, or else a new one drawn at random."""
+    return spark.conf.get(KEY_SETTING, None) or token_hex(16)
+
+
+def pseudonymised(docs: DataFrame, key: str | None = None) -> DataFrame:
     """``docs`` with personal data in ``text`` replaced by pseudonyms, all columns as they were.
 
     Only expressions of the JVM, on one row at a time: no shuffle. Cards must pass the Luhn
     check (their pseudonyms do too), and are told from numbers beside them by it, addresses have parts up to 255, dates exist and lie in
-    1900-2099, social security numbers be assignable; what is not valid stays. Null and empty
+    1900-2099, social security numbers be assignable (their pseudonyms are too); what is not valid stays. Null and empty
     texts stay; repeated rows are replaced alike; an empty table gives no rows. Texts are read
-    whole. Without the right ``key`` a pseudonym can't be led back; name your own.
+    whole. Equal values have equal pseudonyms under one key. Without the key a pseudonym can't be led
+    back; where none is given it is that of ``key_of``, so set one to link results of several runs.
     """
+    key = key_of(docs.sparkSession) if key is None else key
 
     def replaced(text: Column) -> Column:
         matches, gaps = pieces(text, ANY)
