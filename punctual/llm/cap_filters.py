@@ -132,7 +132,6 @@ class Codes:
     """Filters and planes for vectors of one dimension; the same wherever they are made."""
 
     def __init__(self, dimension: int, vectors: int):
-        self.planes = np.random.default_rng([dimension, vectors]).standard_normal((dimension, 64))
         self.turns = [ProductCode(dimension, vectors, number) for number in range(TURNS)]
         self.base = dimension << 46
 
@@ -143,9 +142,11 @@ class Codes:
             for own in zip(*found, strict=True):
                 yield np.concatenate([x * TURNS + number + self.base for number, x in enumerate(own)])
 
-    def signs(self, units: np.ndarray) -> np.ndarray:
-        """Sides of 64 planes, as the bits of a number."""
-        return np.packbits(units @ self.planes > 0, axis=1).view(">i8").ravel().astype(np.int64)
+
+def _signs(units: np.ndarray, vectors: int) -> np.ndarray:
+    """Sides of 64 random planes, the same for all vectors of a dimension, as the bits of a number."""
+    planes = np.random.default_rng([units.shape[1], vectors]).standard_normal((units.shape[1], 64))
+    return np.packbits(units @ planes > 0, axis=1).view(">i8").ravel().astype(np.int64)
 
 
 class AllCodes(dict):
@@ -211,7 +212,7 @@ def _capped(codes, kind: str):
             filters: list = [None] * batch.num_rows
             for rows, units in _by_dimension(batch.column(1).to_pylist(), kind):
                 own = known[units.shape[1]]
-                signs[rows] = own.signs(units)
+                signs[rows] = _signs(units, known.counts[units.shape[1]])
                 for row, found in zip(rows, own.filters(units), strict=True):
                     filters[row] = found
             yield pa.RecordBatch.from_arrays(
@@ -274,8 +275,8 @@ def _mean(kind: str, codes):
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         centre = _units(np.array([np.frombuffer(x, kind) for x in frame["vector"]])).sum(axis=0, keepdims=True)
         centre = _units(centre).astype(kind)
-        known = AllCodes(pickle.loads(codes.value))[centre.shape[1]]
-        return pd.DataFrame([(key[0], known.signs(_units(centre))[0], centre.tobytes())], columns=["ball", "signs", "centre"])
+        signs = _signs(_units(centre), pickle.loads(codes.value)[centre.shape[1]])
+        return pd.DataFrame([(key[0], signs[0], centre.tobytes())], columns=["ball", "signs", "centre"])
 
     return run
 
