@@ -9,7 +9,8 @@
    copies is the one most like the rest. The pairs found make provisional groups. A few rounds pair
    the members of a bucket's lesser groups with members of its largest, drawn by lot. Then all members of different groups are
    paired, from the bucket's lesser groups outwards, so a bucket of one large group costs
-   nothing more. Length and position are tested in the join, the suffix on distinct pairs, and
+   nothing more. A pair meets only at the first of a run of shingles that both prefixes share, as
+   those of a common passage do. Length and position are tested in the join, the suffix on distinct pairs, and
    each pair that remains is verified once on the whole sets.
 
 No bucket, group or candidate list is capped. Shingles in more than one set of ``HOT_SHARE``
@@ -37,8 +38,8 @@ from punctual.llm.store import stored
 HOT_SHARE = 2000
 #: Sets of a task with the shingle from which the task reports it as maybe hot.
 HOT_IN_TASK = 8
-#: Shingles that a block of a map task holds, and that a code range is planned for.
-BLOCK, RANGE = 1 << 20, 1 << 21
+#: Shingles that a block of a map task holds, that it counts at a time, and that a code range is planned for.
+BLOCK, HELD, RANGE = 1 << 20, 1 << 22, 1 << 21
 #: Rounds in which groups meet by members drawn by lot before all that is left is paired.
 ROUNDS = 1
 #: Members of the largest group that are drawn in a round for each shingle.
@@ -78,7 +79,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 seen.add(key)
                 held.append(tokens)
                 size += len(tokens)
-            if size >= 4 * BLOCK:
+            if size >= HELD:
                 yield frequent()
                 held, size, seen = [], 0, set()
         none = pa.nulls(len(keys), pa.int64())
@@ -336,8 +337,9 @@ def _suffix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _links(sets: DataFrame) -> DataFrame:
     """Edges ``a``, ``b`` between set ids whose components are those of all linked pairs."""
-    postings = sets.select("id", "n", "alone", F.posexplode("prefix").alias("at", "token")).select(
-        "token", "id", "n", (F.col("at") + F.col("alone")).alias("pos")
+    shared = F.transform("prefix", lambda token, at: F.struct(token.alias("token"), at.alias("at"), F.get("prefix", at - 1).alias("before")))
+    postings = sets.select("id", "n", "alone", F.inline(shared)).select(
+        "token", "id", "n", (F.col("at") + F.col("alone")).alias("pos"), "before"
     )
     entry = F.struct("id", "n", "pos")
     hub = F.min(F.struct("pos", "id", "n")).alias("hub")
@@ -359,21 +361,12 @@ def _links(sets: DataFrame) -> DataFrame:
             near = stored(near.unionByName(more), "near")
             grouped = _grouped(postings, near)
     mixed = stored(grouped.join(_mixed(grouped, ROUNDS).select("token", F.col("most.root").alias("most")), "token"), "mixed")
+    # Prefixes run in one order, so a pair that shares the shingles before, too, has met there. What is
+    # left of two sets is most where they meet first: a pair that doesn't fit there fits nowhere.
     met = mixed.where("root <> most").alias("x").join(mixed.alias("y"), "token").where(
-        "x.root <> y.root and (y.root = y.most or x.id < y.id)"
-    ).where(_lengths("x", "y"))
-    # All prefix shingles that two sets share meet in these buckets. Of the others, the set whose
-    # prefix ends first in the order can only hold those behind its prefix.
-    rest = F.greatest(_needed("x"), _needed("y")) - 1
-    pairs = met.groupBy(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).agg(
-        F.max(_fits("x", "y")).alias("fits"), (F.count("*") + F.first(rest)).alias("most"), F.first(F.col("x.n") + F.col("y.n")).alias("sizes")
-    ).where("fits and 7 * most >= 3 * sizes")
-    return near.unionByName(_verified(pairs, sets))
-
-
-def _needed(side: str):
-    """Shingles of a set that a similar one must share: three quarters, rounded up."""
-    return F.floor((3 * F.col(f"{side}.n") + 3) / 4)
+        "x.root <> y.root and (y.root = y.most or x.id < y.id) and not coalesce(x.before = y.before, false)"
+    ).where(_fits("x", "y"))
+    return near.unionByName(_verified(met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")), sets))
 
 
 def _grouped(postings: DataFrame, links: DataFrame) -> DataFrame:
@@ -411,7 +404,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     words is one shingle. Null, empty or blank texts have no shingles, link with nothing and are
     their own component. Repeated rows are rows of the same set, each returned; a null doc_id
     stays null and names a component only if no other id is in it. An empty table gives no
-    rows. Columns other than doc_id and text are not read. Shingles are told apart by 53 bits of
+    rows. Columns other than doc_id and text are not read. Shingles are told apart by 51 bits of
     their code or more within a pair, and sets by 128 bits.
     """
     profile = stored(profiles(docs), "profile")
@@ -436,11 +429,14 @@ def one_per_group(docs: DataFrame) -> DataFrame:
     has one. Rows are numbered before the join, and of equal ids the first number stays, so ids
     may repeat or miss. Rows without shingles stay, but once if they repeat both id and text.
     """
-    rows = stored(docs.withColumn("_row_key", F.monotonically_increasing_id()), "rows")
-    found = similar_documents(rows.select(F.col("_row_key").alias("doc_id"), "text"))
-    ids = rows.select("_row_key", "doc_id").join(found.select(F.col("doc_id").alias("_row_key"), "component_id"), "_row_key")
-    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row_key"))).alias("first")
-    keep = ids.groupBy("component_id").agg(first).select(F.col("first._row_key").alias("_row_key"))
-    kept = rows.join(keep, "_row_key", "left_semi").drop("_row_key")
+    number = "_row_key"
+    while number in (name.lower() for name in docs.columns):
+        number += "_"
+    rows = stored(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
+    found = similar_documents(rows.select(F.col(number).alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id")
+    ids = rows.select(F.col(number).alias("row"), "doc_id").join(found, "row")
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))).alias("first")
+    keep = ids.groupBy("component_id").agg(first).select(F.col("first.row").alias(number))
+    kept = rows.join(keep, number, "left_semi").drop(number)
     blank = F.col("doc_id").isNotNull() & ~F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     return kept.where(~blank).unionByName(kept.where(blank).dropDuplicates(["doc_id", "text"]))

@@ -160,6 +160,13 @@ def test_pseudonyms_are_a_permutation(spark):
     assert pseudonymised(frame, key="other").join(pseudonymised(frame), ["doc_id", "text"]).count() < 10
 
 
+def test_one_per_group_keeps_every_column(spark):
+    rows = [(1, "a b c d e f", 5, 6), (2, "A b c d e f", 7, 8), (3, None, 9, 10), (4, "x y z", 11, 12)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _row_key long, _Row_Key_ long")
+    kept = one_per_group(frame)
+    assert kept.columns == frame.columns and sorted(map(tuple, kept.collect())) == [rows[0], rows[2], rows[3]]
+
+
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
