@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from punctual.llm.shingles import WordCodes, shingle_codes, words_of
-from punctual.llm.store import sent
+from punctual.llm.store import sent, stored
 
 #: Share of an item's distinct shingles that a document must hold, in hundredths.
 SHARE = 75
@@ -84,20 +84,31 @@ def _searched(sketches):
     return run
 
 
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct shingles of each item that has any."""
+    known = WordCodes()
+    for batch in batches:
+        sets = [np.unique(shingle_codes(words_of(text), known)) for text in batch.column(1).to_pylist()]
+        rows = np.flatnonzero([len(x) for x in sets])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).take(pa.array(rows)), pa.array([len(sets[row]) for row in rows], pa.int64()),
+             pa.array([sets[row].tobytes() for row in rows], pa.binary())],
+            names=["item_id", "size", "codes"],
+        )
+
+
 def _passes(benchmark: DataFrame) -> Iterator[list[tuple[int, np.ndarray]]]:
-    """Items in blocks of ``PASS`` shingles; the driver holds one block at a time."""
-    known, block, size = WordCodes(), [], 0
-    rows = benchmark.where("item_id is not null").select(F.col("item_id").cast("long"), F.col("text").cast("binary"))
-    for item, text in rows.toLocalIterator():
-        codes = np.unique(shingle_codes(words_of(text), known))
-        if len(codes):
-            block.append((item, codes))
-            size += len(codes)
-        if size >= PASS:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+    """Items in blocks of ``PASS`` shingles or a little more; the driver holds one block at a time.
+
+    Tasks make the shingles and deal the items into blocks; the driver only collects a block's codes.
+    """
+    rows = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text"))
+    coded = stored(rows.mapInArrow(_coded, "item_id long, size long, codes binary"), "items")
+    blocks = max(1, -(-(coded.agg(F.sum("size")).first()[0] or 0) // PASS))
+    for block in range(blocks):
+        found = coded.where(F.pmod(F.xxhash64("item_id", "codes"), F.lit(blocks)) == block).select("item_id", "codes").toArrow()
+        if found.num_rows:
+            yield [(item, np.frombuffer(codes, np.uint64)) for item, codes in zip(*(x.to_pylist() for x in found.columns), strict=True)]
 
 
 def contained_items(docs: DataFrame, benchmark: DataFrame, share: int = SHARE) -> DataFrame:
@@ -109,13 +120,16 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, share: int = SHARE) -
     make a row. Null, empty or blank texts hold nothing and are in nothing; items without an id
     are left out; a null doc_id is returned as such. Repeated rows of either table give a row for
     each. Empty tables give no rows. Columns besides id and text are not read. The documents are
-    read once for every ``PASS`` shingles of the benchmark, which alone decides the driver's memory.
+    read once for every ``PASS`` shingles of the benchmark, which alone decides the driver's memory;
+    one block and its broadcast is alive at a time.
     """
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     found = None
     for block in _passes(benchmark):
-        rows = source.mapInArrow(_searched(sent(spark, Sketches(block, share))), "doc_id long, items array<long>, shares array<double>")
+        shared = sent(spark, Sketches(block, share))
+        rows = stored(source.mapInArrow(_searched(shared), "doc_id long, items array<long>, shares array<double>"), "contained")
+        shared.destroy()
         found = rows if found is None else found.unionByName(rows)
     if found is None:
         return spark.createDataFrame([], "doc_id long, item_id long, containment double")
