@@ -1,6 +1,6 @@
 """Language of a text by sparse multinomial logistic regression on TF-IDF character n-grams.
 
-The n-grams of a text's bytes are hashed to a fixed number of cells. The weights are learnt on a
+The n-grams of a text's characters are hashed to a fixed number of cells. The weights are learnt on a
 bounded sample by follow-the-regularised-leader with elastic-net penalties, which leaves most of
 them exactly zero; a temperature, fitted on rows of the sample that the weights never saw, makes
 the probabilities honest.
@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 
 from punctual.llm.store import sent
 
-#: Rows that train at most for each language, picked by a hash of the id, and the languages learnt at most.
-SAMPLE, LANGUAGES = 1500, 500
-#: Bytes of an n-gram, and cells they are hashed to.
-GRAMS, CELLS = (1, 2, 3, 4), 1 << 14
+#: Rows that train in all, picked by a hash of the id, the same number of each language; of one language at least so many.
+SAMPLE, FEWEST = 6000, 20
+#: Characters of an n-gram, and cells they are hashed to.
+GRAMS, CELLS = (1, 2, 3), 1 << 14
 #: Learning: passes, step scale, smoothing, L1 and L2 penalties.
 PASSES, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 0.02, 0.01
 
@@ -31,8 +31,8 @@ _LETTER = re.compile(r"[^\W\d_]").search
 
 
 def cells_of(text: str) -> np.ndarray:
-    """Counts of the hashed n-grams of the lower-cased text's bytes."""
-    data = np.frombuffer(f" {text.lower()} ".encode("utf-8", "replace"), np.uint8).astype(np.uint32)
+    """Counts of the hashed n-grams of the lower-cased text's characters."""
+    data = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
     counts = np.zeros(CELLS, np.float32)
     for size in GRAMS:
         ends = len(data) - size + 1
@@ -140,17 +140,18 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def trained(docs: DataFrame, usable: Column, sample: int = SAMPLE) -> Model:
     """Model learnt from text and lang of the rows that ``usable`` (over doc_id) admits.
 
-    About ``sample`` rows of each language train, whole texts picked by a hash of the id; of
-    more than ``LANGUAGES`` values the most frequent are learnt.
+    About ``sample`` rows train in all, whole texts picked by a hash of the id, and as many of each
+    language; every language that occurs is learnt, from ``FEWEST`` rows at least if it has so many.
     """
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & usable)
-    totals = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    totals = rows.groupBy("lang").count().collect()
     languages = sorted(row["lang"] for row in totals)
     if not languages:
         return Model([], [])
     rates = F.create_map(*[F.lit(x) for row in totals for x in (row["lang"], row["count"])])
-    picked = rows.where(F.col("lang").isin(languages)).where(
-        F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.element_at(rates, F.col("lang"))) < sample
+    each = max(FEWEST, sample // len(languages))
+    picked = rows.where(
+        F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.element_at(rates, F.col("lang"))) < each
     ).select("doc_id", "text", "lang")
     found = picked.mapInArrow(_sampled, "doc_id long, lang string, cells array<long>, counts array<float>").toArrow()
     number = {language: i for i, language in enumerate(languages)}
