@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from punctual.operators import constraints
-from punctual.plans import lines, quality, reviews, sheets, sla
+from punctual.plans import lines, quality, reviews, sheets, sla, upkeep
 from punctual.sources.model import Model
 
 Query = Callable[[Model], DataFrame]
@@ -92,5 +92,12 @@ QUERIES: dict[str, Query] = {
     "d20_transit_by_cycle": sla.transit_dominates_by_cycle,
     "s4_newest_references": constraints.newest_report,
     "x5_delivery_by_volume": lines.delivery_by_volume,
+    "s2_loaded_payments": upkeep.loaded_payments,
+    "s2_rejected_payments": upkeep.rejected_payments,
+    "s6_refreshed_months": upkeep.refreshed_months,
+    "s7_published_states": upkeep.published_states,
+    "p5_clustered_months": upkeep.clustered_months,
+    "j2_bucketed_months": upkeep.bucketed_months,
+    "x2_bucketed_handover": upkeep.bucketed_handover,
     "x10_late_by_handover": lines.late_by_handover,
 }

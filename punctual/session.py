@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -15,11 +16,19 @@ SETTINGS = {
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """The shared folder that the cluster names for intermediate tables."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The shared folder that the cluster names for intermediate tables, ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session gets a folder of its own (its driver and tasks are one
+    process on one disk); a cluster without the setting is refused.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder.rstrip("/")
-    raise ValueError("spark.checkpoint.dir is not set; pass a path on shared storage")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir is not set; name a folder that driver and executors share")
+    folder = tempfile.mkdtemp(prefix="punctual-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
 
 def remove(spark: SparkSession, path: str) -> None:
