@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from punctual.llm.shingles import WordCodes, shingle_codes, words_of
-from punctual.llm.store import sent, stored
+from punctual.llm.store import give_back, sent, stored
 
 #: Share of an item's distinct shingles that a document must hold, in hundredths.
 SHARE = 75
@@ -141,10 +141,13 @@ def _clean(sketches):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pickle
 
+        give_back()
         known, own = WordCodes(), pickle.loads(sketches.value)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist()
             yield batch.filter(pa.array([not own.found(shingle_codes(words_of(text), known)) for text in texts], pa.bool_()))
+        del known, own
+        give_back()
 
     return run
 

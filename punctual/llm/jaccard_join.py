@@ -32,14 +32,14 @@ from pyspark.sql import functions as F
 
 from punctual.llm.components import components
 from punctual.llm.shingles import WordCodes, shingle_sets
-from punctual.llm.store import stored
+from punctual.llm.store import give_back, stored
 
 #: A shingle is hot if more than one set of so many has it.
 HOT_SHARE = 2000
-#: Sets of a task with the shingle from which the task reports it as maybe hot.
-HOT_IN_TASK = 8
+#: Sets with the shingle, among those counted at a time, from which a task reports it as maybe hot.
+HOT_IN_TASK = 4
 #: Shingles that a block of a map task holds, that it counts at a time, and that a code range is planned for.
-BLOCK, HELD, RANGE = 1 << 20, 1 << 22, 1 << 21
+BLOCK, HELD, RANGE = 1 << 20, 1 << 21, 1 << 21
 #: Rounds in which groups meet by members drawn by lot before all that is left is paired.
 ROUNDS = 1
 #: Members of the largest group that are drawn in a round for each shingle.
@@ -57,6 +57,7 @@ def _key(tokens: np.ndarray) -> bytes:
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    give_back()
     known, seen, held, size = WordCodes(), set(), [], 0
 
     def frequent() -> pa.RecordBatch:
@@ -89,6 +90,8 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
     if held:
         yield frequent()
+    del known, seen, held
+    give_back()
 
 
 def profiles(docs: DataFrame) -> DataFrame:
@@ -160,6 +163,8 @@ def _blocks(hot: np.ndarray, bits: int):
                 seen = set()
         if held:
             yield batch_of(emit(held))
+        del known, seen, held
+        give_back()
 
     return run
 
@@ -188,6 +193,7 @@ def _counted(bits: int):
 
     def run(group: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         columns = ["part", "header", "keys", "counts", "tokens", "more"]
+        give_back()
         if group[1]:
             return frame[columns]
         keys, owner, kept = _pairs_of_sets(frame)
@@ -223,6 +229,7 @@ def _assembled(hot: np.ndarray, hot_sets: np.ndarray):
     """Sets of one part with all their shared shingles, if enough are shared to link at all."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         heads, rest = frame[frame["header"]], frame[~frame["header"]]
         numbers: dict[bytes, int] = {}
         sizes: list[int] = []

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,6 +44,18 @@ def dropped(frame: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def give_back() -> None:
+    """Returns memory that a task is done with to the machine.
+
+    Python workers live on and take the next stage's tasks, so what each stage left behind would add up.
+    """
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library, which has its own ways
+
+
 def sent(spark: SparkSession, thing) -> Broadcast:
     """A broadcast of the pickled thing, classes included; tasks read it by ``pickle.loads(it.value)``."""
     return spark.sparkContext.broadcast(cloudpickle.dumps(thing))
