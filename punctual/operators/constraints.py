@@ -58,15 +58,17 @@ def _probes(column: str, bits: int) -> list[Column]:
 
 
 def maybe_named(parent: DataFrame, column: str, words: DataFrame, bits: int) -> DataFrame:
-    """Rows whose key the filter may hold: all that it does hold, and few others."""
+    """Rows whose key the filter may hold: all that it does hold, and few others.
+
+    The one row of words is a scalar subquery, so rows are tested where they are read, without a join.
+    """
+    held = words.select("words").scalar()
 
     def is_set(bit: Column) -> Column:
-        word = F.element_at("words", (F.shiftright(bit, 6) + 1).cast("int"))
+        word = F.element_at(held, (F.shiftright(bit, 6) + 1).cast("int"))
         return F.call_function("shiftrightunsigned", word, bit.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
 
-    held = reduce(lambda a, b: a & b, map(is_set, _probes(column, bits)))
-    # One row of at most MOST_BITS bits.
-    return parent.join(F.broadcast(words), held, "left_semi")
+    return parent.filter(reduce(lambda a, b: a & b, map(is_set, _probes(column, bits))))
 
 
 def missing_parents_of_batch(batch: DataFrame, column: str, parent: DataFrame, parent_column: str,

@@ -99,12 +99,12 @@ def loaded_payments(model: Model) -> DataFrame:
 
 
 def rejected_payments(model: Model) -> DataFrame:
-    """Faults found in CSV files in which every payment of some orders has a number or an amount spoilt."""
-    order = F.col("order_id").cast("bigint")
+    """Faults found in CSV files in which payments of some numbers of installments have a number or an amount spoilt."""
+    installments = F.col("payment_installments")
     path = _payments_csv(
         model, "spoilt",
-        ("payment_sequential", F.when(order % 97 == 0, F.lit("first")).otherwise(F.col("payment_sequential").cast("string"))),
-        ("payment_value", F.when(order % 101 == 0, F.lit("1.2.3")).otherwise(F.col("payment_value").cast("string"))),
+        ("payment_sequential", F.when(installments == 5, F.lit("first")).otherwise(F.col("payment_sequential").cast("string"))),
+        ("payment_value", F.when(installments == 7, F.lit("1.2.3")).otherwise(F.col("payment_value").cast("string"))),
     )
     found = bad_rows(model["order_payments"].sparkSession, path, "order_payments")
     return found.groupBy("column_name", "value", "reason").agg(F.count("*").alias("faults"))

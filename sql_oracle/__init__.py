@@ -26,8 +26,8 @@ STATEMENTS |= {
                CAST(sum(payment_cents) AS BIGINT) / 100.0 AS paid FROM m_payments GROUP BY payment_type""",
     "s2_rejected_payments": """
         SELECT 'payment_sequential' AS column_name, 'first' AS value, 'not int' AS reason, count(*) AS faults
-        FROM m_payments WHERE order_id % 97 = 0
-        UNION ALL SELECT 'payment_value', '1.2.3', 'not decimal(10,2)', count(*) FROM m_payments WHERE order_id % 101 = 0""",
+        FROM m_payments WHERE payment_installments = 5
+        UNION ALL SELECT 'payment_value', '1.2.3', 'not decimal(10,2)', count(*) FROM m_payments WHERE payment_installments = 7""",
     "p5_clustered_months": """
         SELECT CAST(date_trunc('month', order_purchase_timestamp) AS DATE) AS purchase_month, order_status, count(*) AS orders_count
         FROM m_orders WHERE order_purchase_timestamp >= TIMESTAMP '1997-12-01' AND order_purchase_timestamp < TIMESTAMP '1998-05-01'
