@@ -1,42 +1,49 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-The terms of a text are its words and the beginnings of its words. A bounded sample of labelled
-rows decides which terms tell the classes apart; over these terms each example has a TF-IDF
-vector, kept in an inverted index. A text's cosines with all examples that share a term with it
-are added up term by term, so the neighbours are exact; texts of equal terms and counts are
-compared once. The neighbours' votes weigh more the nearer they are; a monotone table, fitted on
-the votes of the third of the examples that had no say in the terms, turns them into
-probabilities.
+The terms of a text are all its words, and those beginnings of words that tell the classes apart
+in a bounded sample of labelled rows. Each example of the sample has a TF-IDF vector over all its
+terms (a term's weight is greater, the more of the toxic examples hold it) and lies in a block-max
+inverted index: examples are numbered by the length of their vectors and cut into blocks, and for
+each common term the index knows its greatest weight in each block. A text's cosines are added up
+over its rare terms first; then blocks are finished from the one that could hold the nearest
+example downwards, until no block left can hold one as near as the k-th best, so the neighbours
+are exact. Their votes weigh more the nearer they are; a monotone table, fitted on the votes of the
+third of the examples that had no say in the terms and weights, turns them into probabilities.
 """
 
 from __future__ import annotations
 
 import pickle
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from punctual.llm.store import sent
+from punctual.llm.store import dropped, sent, stored
 
 #: Labelled rows that train at most, picked by a hash of the id; more rows change no other bound.
 SAMPLE = 12_000
-#: Terms kept; how many times likelier the toxic class must make a term; and the evidence that
-#: takes, as its toxic examples times the log of that (8 is some three examples and no other).
+#: Beginnings kept (words all are); how many times likelier the toxic class must make one; and the
+#: evidence that takes, as its toxic examples times the log of that (8 is some three examples and no other).
 TERMS, LIFT, EVIDENCE = 4096, 4.0, 8.0
-#: Lengths of the word beginnings that count as terms.
+#: Lengths of the word beginnings that may be terms.
 STEMS = (3, 4, 5, 6, 7, 8)
-#: Neighbours that vote.
-NEIGHBOURS = 15
+#: Neighbours that vote, examples of a block, and blocks that are finished in the rounds before the last.
+NEIGHBOURS, BLOCK, ROUNDS = 15, 64, (4, 16)
+#: A term is common if more than one example in so many holds it, and so many terms are at most. Texts compared at once.
+COMMON, DENSE, TOGETHER = 16, 1024, 256
 #: From this score on a text counts as toxic.
 THRESHOLD = 0.3
-#: Words whose terms a task remembers, and vectors whose scores it does.
-REMEMBERED, SCORED = 300_000, 50_000
+#: Words whose beginnings a task remembers.
+REMEMBERED = 300_000
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
@@ -47,97 +54,211 @@ def terms_of(word: str) -> list[str]:
 
 
 def _sampled_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per task: examples with the term, by class."""
+    """Per task: examples with the term, and by class those of them that have a say in the weights."""
     found: dict[str, list[int]] = {}
 
     def counted() -> pa.RecordBatch:
-        names, counts = list(found), list(found.values())
-        return pa.RecordBatch.from_arrays(
-            [pa.array(names, pa.string()), pa.array([x[0] for x in counts], pa.int64()), pa.array([x[1] for x in counts], pa.int64())],
-            names=["term", "clean", "toxic"],
-        )
+        columns = [pa.array([x[i] for x in found.values()], pa.int64()) for i in range(3)]
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), columns[2], columns[0], columns[1]], names=["term", "examples", "clean", "toxic"])
 
     for batch in batches:
         for text, label, doc_id in zip(*(column.to_pylist() for column in batch.columns), strict=True):
-            if calibrates(doc_id):
-                continue
+            tells = not calibrates(doc_id)
             for term in {term for word in set(_WORDS((text or "").lower())) for term in terms_of(word)}:
-                found.setdefault(term, [0, 0])[label] += 1
+                own = found.setdefault(term, [0, 0, 0])
+                own[2] += 1
+                if tells:
+                    own[label] += 1
             if len(found) > 1_000_000:
                 yield counted()
                 found.clear()
     yield counted()
 
 
-def _vectors(terms: dict[str, int]):
-    """Per example: its selected terms and their counts."""
+def _vectors(shared):
+    """Per example: its terms and their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Known(terms)
+        known = _Known(_parted(pickle.loads(shared.value)))
         for batch in batches:
             rows = [known.counts(text) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([list(x) for x in rows], pa.list_(pa.int64())),
-                 pa.array([list(x.values()) for x in rows], pa.list_(pa.int64()))],
+                [batch.column(0), batch.column(2), pa.array([list(x) for x in rows], pa.list_(pa.int32())),
+                 pa.array([list(x.values()) for x in rows], pa.list_(pa.int32()))],
                 names=["doc_id", "label", "terms", "counts"],
             )
 
     return run
 
 
+def _joined(terms: dict[str, int]) -> bytes:
+    """The terms, numbered in order, in few bytes."""
+    return zlib.compress("\n".join(terms).encode(), 1)
+
+
+def _parted(joined: bytes) -> dict[str, int]:
+    text = zlib.decompress(joined).decode()
+    return {term: i for i, term in enumerate(text.split("\n"))} if text else {}
+
+
 class _Known(dict):
-    """Selected terms of each word."""
+    """Known beginnings of each word, and the known terms of a text."""
 
     def __init__(self, terms: dict[str, int]):
         super().__init__()
         self.terms = terms
+        self.starts = {term[:-1]: i for term, i in terms.items() if term.endswith("*")}
+        #: The first five letters of the longer of them tell most other words apart.
+        self.heads = {term[:5] for term in self.starts}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= REMEMBERED:
             self.clear()
-        found = self[word] = tuple(self.terms[term] for term in terms_of(word) if term in self.terms)
+        found = self[word] = tuple(self.starts[word[:n]] for n in STEMS if len(word) >= n and word[:n] in self.starts)
         return found
 
-    def counts(self, text: str | None) -> Counter:
-        return Counter(term for word in _WORDS((text or "").lower()) for term in self[word])
+    def counts(self, text: str | None) -> dict[int, int]:
+        found: dict[int, int] = {}
+        number, starts, heads = self.terms.get, self.starts, self.heads
+        for word, times in Counter(_WORDS((text or "").lower())).items():
+            own = number(word)
+            if own is not None:
+                found[own] = times
+            if word[:5] in heads or word[:4] in starts or word[:3] in starts:
+                for term in self[word]:
+                    found[term] = found.get(term, 0) + times
+        return found
 
 
 class Index:
-    """Inverted index over the examples that have a selected term."""
+    """Block-max inverted index over the examples that have a term.
+
+    ``sizes`` are the numbers of terms of each example, ``terms`` and ``counts`` those of one
+    example after the other.
+    """
 
-    def __init__(self, idf: np.ndarray, ids: list[int], labels: list[int], vectors: list[dict[int, int]]):
+    def __init__(self, idf: np.ndarray, ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, terms: np.ndarray, counts: np.ndarray):
         self.idf = idf
-        self.ids, self.labels = np.array(ids, np.int64), np.array(labels, np.float64)
-        postings: dict[int, tuple[list[int], list[float]]] = {}
-        for example, vector in enumerate(vectors):
-            for term, weight in zip(*self.weighted(vector), strict=True):
-                places, own = postings.setdefault(term, ([], []))
-                places.append(example)
-                own.append(weight)
-        self.postings = {term: (np.array(places), np.array(own)) for term, (places, own) in postings.items()}
-
-    def weighted(self, counts: dict[int, int]) -> tuple[list[int], np.ndarray]:
-        terms = sorted(counts)
-        weights = np.array([1 + np.log(counts[term]) for term in terms]) * self.idf[terms]
+        owner = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
+        weights = (1 + np.log(counts)) * idf[terms]
+        lengths = np.sqrt(np.bincount(owner, weights * weights, len(ids)))
+        held = np.bincount(terms, minlength=len(idf))
+        common = np.argsort(-held, kind="stable")[:DENSE]
+        common = np.sort(common[held[common] > len(ids) / COMMON])
+        # Examples that share their heaviest common term share blocks, and so do those of like length: that tightens the blocks' bounds.
+        dense = np.flatnonzero(np.isin(terms, common))
+        dense = dense[np.lexsort((terms[dense], weights[dense], owner[dense]))]
+        heaviest = np.zeros(len(ids), np.int64)
+        heaviest[owner[dense]] = terms[dense]
+        del weights, dense
+        order = np.lexsort((ids, lengths, heaviest))
+        order = order[lengths[order] > 0]
+        number = np.full(len(ids), -1, np.int32)
+        number[order] = np.arange(len(order))
+        self.ids, self.labels, self.lengths = ids[order], labels[order].astype(np.float64), lengths[order]
+        self.common = common
+        # Postings term by term, each term's by example.
+        place = number[owner]
+        order = np.lexsort((place, terms))
+        self.places, self.times = place[order], counts[order]
+        self.starts = np.concatenate([[0], np.cumsum(held)])
+        self._weigh()
+
+    def _weigh(self) -> None:
+        """What follows from the postings."""
+        self.values = (1 + np.log(self.times)) * np.repeat(self.idf, np.diff(self.starts)) / self.lengths[self.places]
+        self.row = np.full(len(self.idf), -1, np.int32)
+        self.row[self.common] = np.arange(len(self.common))
+        self.blocks = -(-len(self.ids) // BLOCK)
+
+    def __getstate__(self) -> bytes:
+        """The postings alone, in few bytes, as every machine gets them; the rest is worked out again."""
+        numbers = [self.places, self.times, np.diff(self.starts)]
+        few = [x.astype(np.min_scalar_type(int(x.max(initial=0)))) for x in numbers]
+        return zlib.compress(pickle.dumps((self.idf, self.ids, self.labels, self.lengths, self.common, *few), protocol=5), 1)
+
+    def __setstate__(self, state: bytes) -> None:
+        self.idf, self.ids, self.labels, self.lengths, self.common, places, times, held = pickle.loads(zlib.decompress(state))
+        self.places, self.times = places.astype(np.int32), times.astype(np.int32)
+        self.starts = np.concatenate([[0], np.cumsum(held, dtype=np.int64)])
+        self._weigh()
+
+    @cached_property
+    def dense(self) -> np.ndarray:
+        """Weights of the common terms by block, term and example of the block."""
+        found = np.zeros((self.blocks, int(self.row.max(initial=-1)) + 1, BLOCK))
+        for term in np.flatnonzero(self.row >= 0):
+            own = slice(self.starts[term], self.starts[term + 1])
+            found[self.places[own] // BLOCK, self.row[term], self.places[own] % BLOCK] = self.values[own]
+        return found
+
+    @cached_property
+    def most(self) -> np.ndarray:
+        """Greatest weight of each common term in each block."""
+        return np.ascontiguousarray(self.dense.max(axis=2).T)
+
+    def weighted(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        terms = np.fromiter(counts.keys(), np.int64, len(counts))
+        times = np.fromiter(counts.values(), np.float64, len(counts))
+        order = np.argsort(terms)
+        terms = terms[order]
+        weights = (1 + np.log(times[order])) * self.idf[terms]
         size = np.sqrt((weights * weights).sum())
         return terms, weights / size if size > 0 else weights
 
-    def nearest(self, counts: dict[int, int], without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Example numbers and cosines of the nearest, ties to the lower number (examples are numbered by heaviest term, then id)."""
-        scores = np.zeros(len(self.ids))
-        for term, weight in zip(*self.weighted(counts), strict=True):
-            if term in self.postings:
-                places, values = self.postings[term]
-                scores[places] += weight * values
-        if without >= 0:
-            scores[without] = 0
-        numbers = np.flatnonzero(scores)
-        if len(numbers) > NEIGHBOURS:
-            # All that are as near as the last neighbour, of which the lower numbers count.
-            least = np.partition(scores[numbers], len(numbers) - NEIGHBOURS)[len(numbers) - NEIGHBOURS]
-            numbers = numbers[scores[numbers] >= least]
-        best = numbers[np.lexsort((numbers, -scores[numbers]))[:NEIGHBOURS]]
-        return best, scores[best]
+    def nearest(self, counts: dict[int, int], without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Example numbers and cosines of the nearest, ties to the lower number; examples of the id ``without`` are left out."""
+        return self.search([counts], [without])[0][0]
+
+    def search(self, texts: list[dict[int, int]], without: list[int | None]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+        """Of each text the numbers and cosines (to 12 digits) of its nearest, and the blocks that were finished for it."""
+        scores = np.zeros((len(texts), self.blocks * BLOCK))
+        common = np.zeros((len(texts), self.dense.shape[1]))
+        for own, into, (counts, left) in zip(scores, common, zip(texts, without, strict=True), strict=True):
+            terms, weights = self.weighted(counts)
+            rows = self.row[terms]
+            into[rows[rows >= 0]] = weights[rows >= 0]
+            terms, weights = terms[rows < 0], weights[rows < 0]
+            starts, ends = self.starts[terms], self.starts[terms + 1]
+            if len(terms):
+                these = [slice(*x) for x in zip(starts.tolist(), ends.tolist(), strict=True)]
+                values = np.concatenate([self.values[x] for x in these]) * np.repeat(weights, ends - starts)
+                own += np.bincount(np.concatenate([self.places[x] for x in these]), values, len(own))
+            if left is not None:
+                own[np.flatnonzero(self.ids == left)] = -np.inf
+        by_block = scores.reshape(len(texts), self.blocks, BLOCK)
+        # No example of a block can be nearer than its best sum so far and the block's greatest weights together.
+        bounds = common @ self.most + by_block.max(axis=2, initial=-np.inf)
+        least, done = np.zeros(len(texts)), np.zeros(bounds.shape, bool)
+        for blocks in (*ROUNDS, self.blocks):
+            wanted = ~done & (bounds > 0) & (bounds >= least[:, None] - 1e-9)
+            if blocks < self.blocks:
+                best = np.argpartition(np.where(wanted, -bounds, np.inf), blocks, axis=1)[:, :blocks]
+                first = np.zeros_like(wanted)
+                np.put_along_axis(first, best, True, axis=1)
+                wanted &= first
+            for block in np.flatnonzero(wanted.any(axis=0)):
+                own = np.flatnonzero(wanted[:, block])
+                if len(own) == len(texts):
+                    by_block[:, block] += common @ self.dense[block]
+                else:
+                    by_block[own, block] += common[own] @ self.dense[block]
+            done |= wanted
+            if blocks < self.blocks:
+                for text, own in enumerate(wanted):
+                    values = by_block[text, own].ravel()
+                    if len(values) > NEIGHBOURS:
+                        least[text] = max(least[text], np.partition(values, len(values) - NEIGHBOURS)[len(values) - NEIGHBOURS])
+        found = []
+        for text, own in enumerate(done):
+            numbers = np.flatnonzero(own)
+            values = by_block[text, numbers]
+            block, place = np.nonzero((values > 0) & (values >= least[text] - 1e-9))
+            # The sums' last digits depend on how many texts are compared at once.
+            numbers, values = numbers[block] * BLOCK + place, values[block, place].round(12)
+            best = np.lexsort((numbers, -values))[:NEIGHBOURS]
+            found.append((numbers[best], values[best]))
+        return found, done
 
     def vote(self, numbers: np.ndarray, cosines: np.ndarray, prior: float) -> float:
         """Share of toxic among the neighbours by the inverse of their distance, drawn to the prior by one weak vote."""
@@ -165,44 +286,58 @@ def calibrates(doc_id: int) -> bool:
 
 
 class Model:
-    """Selected terms, the index, the calibration and the score of a text without selected terms."""
+    """Terms, the index, the calibration and the score of a text without known terms."""
 
-    def __init__(self, terms: dict[str, int], idf, rows: list[tuple[int, int, dict[int, int]]]):
-        self.terms = terms
-        rows = sorted(rows, key=lambda row: row[0])
-        labels = np.array([row[1] for row in rows], np.float64)
-        self.prior = float(labels.mean()) if len(rows) else 0.0
-        plain = np.array([row[1] for row in rows if not row[2] and calibrates(row[0])], np.float64)
-        self.plain = float((plain.sum() + 0.01) / (len(plain) + 1))
-        # Among examples of one cosine, those of the same heaviest term follow each other.
-        idf = np.asarray(idf, np.float64)
-        told = sorted((row for row in rows if row[2]), key=lambda row: max((n * idf[t], t) for t, n in row[2].items())[1])
-        self.index = Index(idf, [r[0] for r in told], [r[1] for r in told], [r[2] for r in told])
-        own = [i for i, row in enumerate(told) if calibrates(row[0])]
-        votes = [self.index.vote(*self.index.nearest(told[i][2], without=i), self.prior) for i in own]
-        if own:
-            self.points, self.values = monotone(np.array(votes), np.array([told[i][1] for i in own], np.float64))
-        else:
-            self.points, self.values = np.array([0.0]), np.array([self.plain])
-        self.known: dict[tuple, tuple[float, list[int]]] = {}
-
-    def score(self, counts: dict[int, int]) -> tuple[float, list[int]]:
-        """Probability of the toxic label, and the ids of the examples that say so."""
-        if not counts:
-            return self.plain, []
-        vector = tuple(sorted(counts.items()))
-        if vector not in self.known:
-            if len(self.known) >= SCORED:
-                self.known.clear()
-            self.known[vector] = self._compared(counts)
-        return self.known[vector]
-
-    def _compared(self, counts: dict[int, int]) -> tuple[float, list[int]]:
-        numbers, cosines = self.index.nearest(counts)
+    def __init__(self, terms: dict[str, int], index: Index, plain: float):
+        self.terms, self.index, self.plain = terms, index, plain
+        self.prior = float(index.labels.mean()) if len(index.labels) else 0.0
+        self.points, self.values = np.array([0.0]), np.array([plain])
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"terms": _joined(self.terms)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state, terms=_parted(state["terms"]))
+
+    def calibrated(self, votes: np.ndarray, labels: np.ndarray) -> Model:
+        if len(votes):
+            self.points, self.values = monotone(votes, labels)
+        return self
+
+    def scores(self, texts: list[dict[int, int]]) -> list[tuple[float, list[int]]]:
+        """Probability of the toxic label, and the ids of the neighbours that speak for what it says."""
+        return [self._said(*near) for near in self.index.search(texts, [None] * len(texts))[0]]
+
+    def _said(self, numbers: np.ndarray, cosines: np.ndarray) -> tuple[float, list[int]]:
         if not len(numbers):
             return self.plain, []
         vote = self.index.vote(numbers, cosines, self.prior)
-        return float(np.interp(vote, self.points, self.values)), self.index.ids[numbers].tolist()
+        score = float(np.interp(vote, self.points, self.values))
+        return score, self.index.ids[numbers[(self.index.labels[numbers] > 0) == (score >= THRESHOLD)]].tolist()
+
+
+def _together(model: Model, known: _Known, texts: list[str | None]) -> list[tuple[float, list[int]]]:
+    """Scores of texts, a few compared at once."""
+    return [x for i in range(0, len(texts), TOGETHER) for x in model.scores([known.counts(text) for text in texts[i : i + TOGETHER]])]
+
+
+def _votes(model):
+    """Of each calibrating example: the vote of its neighbours, itself left out, and its label."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = pickle.loads(model.value)
+        known = _Known(own.terms)
+        for batch in batches:
+            rows = [row for row in zip(*(column.to_pylist() for column in batch.columns), strict=True) if calibrates(row[0])]
+            found = []
+            for i in range(0, len(rows), TOGETHER):
+                some = [(known.counts(text), doc_id, float(label)) for doc_id, text, label in rows[i : i + TOGETHER]]
+                some = [x for x in some if x[0]]
+                near, _ = own.index.search([x[0] for x in some], [x[1] for x in some])
+                found += [(own.index.vote(*x, own.prior), label) for x, (_, _, label) in zip(near, some, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.float64()), pa.array([x for _, x in found], pa.float64())], names=["vote", "label"])
+
+    return run
 
 
 def _scored(model):
@@ -210,7 +345,7 @@ def _scored(model):
         own = pickle.loads(model.value)
         known = _Known(own.terms)
         for batch in batches:
-            rows = [own.score(known.counts(text)) for text in batch.column(batch.num_columns - 1).to_pylist()]
+            rows = _together(own, known, batch.column(batch.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array([x for x, _ in rows], pa.float64()), pa.array([x for _, x in rows], pa.list_(pa.int64()))],
                 names=[*batch.schema.names[:-1], "score", "evidence"],
@@ -223,43 +358,61 @@ def trained(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SA
     """Model learnt from the rows of ``labels`` that ``usable`` (over doc_id) admits.
 
     At most about ``sample`` labelled rows train, picked by a hash of the id; null labels and
-    ids are left out. The driver holds the sample's vectors over the selected terms, not texts.
+    ids are left out. The driver holds the sample's terms and vectors, not texts.
     """
+    spark = docs.sparkSession
     rows = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & usable)
     rows = rows.groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("label"))
     total = rows.count()
     picked = rows.where(F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(max(1, total))) < sample)
-    examples = docs.select("doc_id", "text").join(picked, "doc_id").select("doc_id", "text", "label")
+    examples = stored(docs.select(F.col("doc_id").cast("long"), "text").join(picked, "doc_id").select("doc_id", "text", "label"), "examples")
     counts = (
-        examples.select("text", "label", "doc_id").mapInArrow(_sampled_terms, "term string, clean long, toxic long")
-        .groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+        examples.select("text", "label", "doc_id").mapInArrow(_sampled_terms, "term string, examples long, clean long, toxic long")
+        .groupBy("term").agg(*[F.sum(name).alias(name) for name in ("examples", "clean", "toxic")])
     )
+    counts = stored(counts, "terms")
     sizes = picked.groupBy("label").count().collect()
     size = {row["label"]: row["count"] for row in sizes}
     clean, toxic = size.get(0, 0), size.get(1, 0)
-    told = counts.withColumn(
+    told = counts.where(F.col("term").endswith("*")).withColumn(
         "lift", ((F.col("toxic") + 0.5) / (toxic + 1)) / ((F.col("clean") + 0.5) / (clean + 1))
     ).where((F.col("lift") >= LIFT) & (F.col("toxic") * F.log("lift") >= EVIDENCE))
-    # The terms whose counts are least likely by chance: toxic share times the log of the lift.
-    best = told.orderBy(F.desc(F.col("toxic") * F.log("lift")), "term").limit(TERMS).collect()
-    terms = {row["term"]: i for i, row in enumerate(best)}
-    idf = [1 + float(np.log((clean + toxic + 1) / (row["clean"] + row["toxic"] + 1))) for row in best]
-    vectors = examples.mapInArrow(_vectors(terms), "doc_id long, label int, terms array<long>, counts array<long>").collect()
-    return Model(terms, idf, [(r["doc_id"], r["label"], dict(zip(r["terms"], r["counts"], strict=True))) for r in vectors])
+    # The beginnings whose counts are least likely by chance: toxic share times the log of the lift.
+    best = told.orderBy(F.desc(F.col("toxic") * F.log("lift")), "term").limit(TERMS).drop("lift")
+    chosen = counts.where(~F.col("term").endswith("*")).unionByName(best).orderBy("term").toArrow()
+    dropped(counts)
+    terms = {term: i for i, term in enumerate(chosen["term"].to_pylist())}
+    often, clean, toxic = (chosen[name].to_numpy().astype(np.float64) for name in ("examples", "clean", "toxic"))
+    shared = sent(spark, _joined(terms))
+    found = examples.mapInArrow(_vectors(shared), "doc_id long, label int, terms array<int>, counts array<int>").toArrow()
+    shared.destroy()
+    # Inverse frequency, times the relevance: toxic examples to one clean one, on a scale of logs.
+    idf = (1 + np.log((found.num_rows + 1) / (often + 1))) * np.log2(2 + toxic / np.maximum(1, clean))
+    ids, label = found["doc_id"].to_numpy(), found["label"].to_numpy()
+    lengths = pc.list_value_length(found["terms"]).to_numpy()
+    index = Index(idf, ids, label, lengths, *(pc.list_flatten(found[name]).to_numpy() for name in ("terms", "counts")))
+    without = label[(lengths == 0) & np.array([calibrates(int(i)) for i in ids], bool)]
+    model = Model(terms, index, float((without.sum() + 0.01) / (len(without) + 1)))
+    shared = sent(spark, model)
+    votes = examples.mapInArrow(_votes(shared), "vote double, label double").toArrow()
+    shared.destroy()
+    dropped(examples)
+    return model.calibrated(votes["vote"].to_numpy(), votes["label"].to_numpy())
 
 
 def toxicity(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` (doc_id if not given) with ``score``, ``predicted`` and ``evidence``.
 
-    Only the text decides. A text without selected terms, a null or an empty one gets the score
-    of such examples and no evidence. Of examples at the same cosine, those count that the index holds first.
-    Repeated rows score alike; null ids are returned; an empty table gives no rows. Without
-    labels every score is that of no evidence, near 0.
+    Only the text decides; ``evidence`` are the ids of those neighbours that are labelled as predicted.
+    A text without known terms, a null or an empty one gets the score of such examples and no evidence.
+    Of examples at the same cosine, those count that the index holds first. Repeated rows score alike;
+    null ids are returned; an empty table gives no rows. Without labels every score is that of no
+    evidence, near 0.
     """
     keep = ["doc_id"] if keep is None else keep
     rows = docs.select(*[F.col(f"`{name}`") for name in keep], F.col("text").alias("_scored_text"))
     types = [f"`{field.name}` {field.dataType.simpleString()}" for field in rows.schema.fields[:-1]]
-    shared = sent(docs.sparkSession, model)  # bounded by TERMS and SAMPLE
+    shared = sent(docs.sparkSession, model)  # bounded by SAMPLE and the terms of its texts
     found = rows.mapInArrow(_scored(shared), ", ".join([*types, "score double", "evidence array<long>"]))
     return found.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
@@ -270,7 +423,7 @@ def _harmless(model):
         known = _Known(own.terms)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            yield batch.filter(pa.array([own.score(known.counts(text))[0] < THRESHOLD for text in texts], pa.bool_()))
+            yield batch.filter(pa.array([score < THRESHOLD for score, _ in _together(own, known, texts)], pa.bool_()))
 
     return run
 
