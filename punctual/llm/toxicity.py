@@ -184,18 +184,27 @@ class Index:
         self._weigh()
 
     @cached_property
-    def dense(self) -> np.ndarray:
-        """Weights of the common terms by block, term and example of the block."""
-        found = np.zeros((self.blocks, int(self.row.max(initial=-1)) + 1, BLOCK))
-        for term in np.flatnonzero(self.row >= 0):
-            own = slice(self.starts[term], self.starts[term + 1])
-            found[self.places[own] // BLOCK, self.row[term], self.places[own] % BLOCK] = self.values[own]
+    def dense(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each block the common terms that it holds, and their weights in its examples."""
+        places = [self.places[self.starts[term] : self.starts[term + 1]] for term in self.common]
+        cuts = [np.searchsorted(own, np.arange(self.blocks + 1) * BLOCK) for own in places]
+        found = []
+        for block in range(self.blocks):
+            held = [row for row, cut in enumerate(cuts) if cut[block] < cut[block + 1]]
+            weights = np.zeros((len(held), BLOCK))
+            for into, row in zip(weights, held, strict=True):
+                own = slice(cuts[row][block], cuts[row][block + 1])
+                into[places[row][own] - block * BLOCK] = self.values[self.starts[self.common[row]] :][own]
+            found.append((np.array(held, np.int64), weights))
         return found
 
     @cached_property
     def most(self) -> np.ndarray:
         """Greatest weight of each common term in each block."""
-        return np.ascontiguousarray(self.dense.max(axis=2).T)
+        found = np.zeros((len(self.common), self.blocks))
+        for block, (held, weights) in enumerate(self.dense):
+            found[held, block] = weights.max(axis=1, initial=0)
+        return found
 
     def weighted(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         terms = np.fromiter(counts.keys(), np.int64, len(counts))
@@ -213,7 +222,7 @@ class Index:
     def search(self, texts: list[dict[int, int]], without: list[int | None]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
         """Of each text the numbers and cosines (to 12 digits) of its nearest, and the blocks that were finished for it."""
         scores = np.zeros((len(texts), self.blocks * BLOCK))
-        common = np.zeros((len(texts), self.dense.shape[1]))
+        common = np.zeros((len(texts), len(self.common)))
         for own, into, (counts, left) in zip(scores, common, zip(texts, without, strict=True), strict=True):
             terms, weights = self.weighted(counts)
             rows = self.row[terms]
@@ -239,10 +248,8 @@ class Index:
                 wanted &= first
             for block in np.flatnonzero(wanted.any(axis=0)):
                 own = np.flatnonzero(wanted[:, block])
-                if len(own) == len(texts):
-                    by_block[:, block] += common @ self.dense[block]
-                else:
-                    by_block[own, block] += common[own] @ self.dense[block]
+                held, weights = self.dense[block]
+                by_block[own, block] += common[own[:, None], held] @ weights
             done |= wanted
             if blocks < self.blocks:
                 for text, own in enumerate(wanted):
