@@ -37,6 +37,8 @@ BYTES, WHOLE, LENGTHS = 256, (WORDS - 256) // 2, (2, 3, 4)
 REMEMBERED, SHORT = 300_000, 64
 #: Tokens worked on at once when scoring, and distinct words (or places of pieces) that a task counts before it passes them on.
 CHUNK, COUNTED, PLACES = 1 << 15, 500_000, 1 << 22
+#: Rows whose chances are worked out at once.
+ROWS = 2048
 #: Parts in which the weights are averaged.
 SLICES = 16
 
@@ -186,15 +188,18 @@ class Network:
         """Log-probability of each id between its sides."""
         _, _, into, into_bias, within, within_bias = self.arrays
         hidden = self.hidden(sides)
-        rows, group = np.arange(len(ids)), ids // CLASS
-        found = _log_softmax(hidden @ into + into_bias)[rows, group].astype(np.float64)
-        order = np.argsort(group, kind="stable")
-        ends = np.searchsorted(group[order], np.arange(CLASSES + 1))
+        group, within_group = ids // CLASS, ids % CLASS
+        # Few rows at a time, which stay in the processor's memory.
+        found = np.concatenate([
+            _chances(hidden[i : i + ROWS] @ into + into_bias, group[i : i + ROWS]) for i in range(0, len(ids), ROWS)
+        ]).astype(np.float64)
+        order, ends = _sorted(group, CLASSES)
+        hidden, within_group, inner = hidden[order], within_group[order], np.empty(len(ids), np.float32)
         for each in range(CLASSES):
-            own = order[ends[each] : ends[each + 1]]
-            if len(own):
-                logits = _log_softmax(hidden[own] @ within[each] + within_bias[each])
-                found[own] += logits[np.arange(len(own)), ids[own] % CLASS]
+            own = slice(ends[each], ends[each + 1])
+            if own.start < own.stop:
+                inner[own] = _chances(hidden[own] @ within[each] + within_bias[each], within_group[own])
+        found[order] += inner
         return found
 
     def learn(self, ids: np.ndarray, sides: np.ndarray, squares: list[np.ndarray]) -> None:
@@ -203,24 +208,26 @@ class Network:
         changes = [np.zeros_like(array) for array in self.arrays[1:]]
         hidden = self.hidden(sides)
         rows, group = np.arange(len(ids)), ids // CLASS
-        gap = np.exp(_log_softmax(hidden @ into + into_bias))
+        gap = _softmax(hidden @ into + into_bias)
         gap[rows, group] -= 1
         changes[1][:], changes[2][:] = hidden.T @ gap, gap.sum(axis=0)
         back = gap @ into.T
-        order = np.argsort(group, kind="stable")
-        ends = np.searchsorted(group[order], np.arange(CLASSES + 1))
+        order, ends = _sorted(group, CLASSES)
+        ordered, places, inner = hidden[order], (ids % CLASS)[order], np.empty_like(back)
         for each in range(CLASSES):
-            own = order[ends[each] : ends[each + 1]]
-            if len(own):
-                gap = np.exp(_log_softmax(hidden[own] @ within[each] + within_bias[each]))
-                gap[np.arange(len(own)), ids[own] % CLASS] -= 1
-                changes[3][each], changes[4][each] = hidden[own].T @ gap, gap.sum(axis=0)
-                back[own] += gap @ within[each].T
+            own = slice(ends[each], ends[each + 1])
+            if own.start < own.stop:
+                gap = _softmax(ordered[own] @ within[each] + within_bias[each])
+                gap[rows[: len(gap)], places[own]] -= 1
+                changes[3][each], changes[4][each] = ordered[own].T @ gap, gap.sum(axis=0)
+                inner[own] = gap @ within[each].T
+        back[order] += inner
         back *= 1 - hidden * hidden
         changes[0][:] = back.sum(axis=0)
         for k in range(2 * SIDE):
-            order = np.argsort(sides[k], kind="stable")
-            words, starts = np.unique(sides[k][order], return_index=True)
+            order, ends = _sorted(sides[k], WORDS + 1)
+            words = np.flatnonzero(np.diff(ends))
+            starts = ends[words]
             change = np.add.reduceat(back[order], starts, axis=0) / len(ids)
             # Rows of tokens that aren't there have no change.
             squares[0][k][words] += change * change
@@ -231,9 +238,26 @@ class Network:
             array -= RATE * change / (np.sqrt(square) + 1e-4)
 
 
-def _log_softmax(logits: np.ndarray) -> np.ndarray:
-    logits = logits - logits.max(axis=1, keepdims=True)
-    return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+def _sorted(numbers: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the numbers in their order, and where each of the numbers below ``size`` begins and ends."""
+    # Of two bytes numpy sorts by digits.
+    order = np.argsort(numbers.astype(np.uint16), kind="stable")
+    return order, np.concatenate([[0], np.cumsum(np.bincount(numbers, minlength=size))])
+
+
+def _softmax(logits: np.ndarray) -> np.ndarray:
+    logits -= logits.max(axis=1, keepdims=True)
+    np.exp(logits, out=logits)
+    logits /= logits.sum(axis=1, keepdims=True)
+    return logits
+
+
+def _chances(logits: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Logarithm of each row's chance of its place."""
+    logits -= logits.max(axis=1, keepdims=True)
+    found = logits[np.arange(len(places)), places]
+    np.exp(logits, out=logits)
+    return found - np.log(logits.sum(axis=1))
 
 
 class Model:
