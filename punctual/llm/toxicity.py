@@ -19,6 +19,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import cached_property
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from punctual.llm.store import dropped, sent, stored
+from punctual.llm.store import dropped, give_back, sent, stored
 
 #: Labelled rows that train at most, picked by a hash of the id; more rows change no other bound.
 SAMPLE = 12_000
@@ -42,8 +43,8 @@ NEIGHBOURS, BLOCK, ROUNDS = 15, 64, (4, 16)
 COMMON, DENSE, TOGETHER = 16, 1024, 256
 #: From this score on a text counts as toxic.
 THRESHOLD = 0.3
-#: Words whose beginnings a task remembers.
-REMEMBERED = 300_000
+#: Words whose beginnings a task remembers, and postings that are weighed at once.
+REMEMBERED, WEIGHED = 300_000, 1 << 15
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
@@ -73,6 +74,8 @@ def _sampled_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 yield counted()
                 found.clear()
     yield counted()
+    found.clear()
+    give_back()
 
 
 def _vectors(shared):
@@ -87,6 +90,8 @@ def _vectors(shared):
                  pa.array([list(x.values()) for x in rows], pa.list_(pa.int32()))],
                 names=["doc_id", "label", "terms", "counts"],
             )
+        del known
+        give_back()
 
     return run
 
@@ -130,6 +135,11 @@ class _Known(dict):
         return found
 
 
+def _compact(numbers: np.ndarray) -> np.ndarray:
+    """The numbers, none below 0, in the fewest bytes."""
+    return numbers.astype(np.min_scalar_type(int(numbers.max(initial=0))))
+
+
 class Index:
     """Block-max inverted index over the examples that have a term.
 
@@ -160,26 +170,32 @@ class Index:
         # Postings term by term, each term's by example.
         place = number[owner]
         order = np.lexsort((place, terms))
-        self.places, self.times = place[order], counts[order]
+        self.places, self.times = place[order], _compact(counts[order])
         self.starts = np.concatenate([[0], np.cumsum(held)])
         self._weigh()
 
     def _weigh(self) -> None:
         """What follows from the postings."""
-        self.values = (1 + np.log(self.times)) * np.repeat(self.idf, np.diff(self.starts)) / self.lengths[self.places]
+        self.values = np.empty(len(self.places))
+        held = np.diff(self.starts)
+        # Terms of some postings at a time, so that little else is in memory.
+        cuts = np.searchsorted(self.starts, np.arange(0, len(self.places), WEIGHED)).tolist()
+        for first, last in pairwise([*cuts, len(held)]):
+            own = slice(self.starts[first], self.starts[last])
+            weights = (1 + np.log(self.times[own].astype(np.float64))) * np.repeat(self.idf[first:last], held[first:last])
+            self.values[own] = weights / self.lengths[self.places[own]]
         self.row = np.full(len(self.idf), -1, np.int32)
         self.row[self.common] = np.arange(len(self.common))
         self.blocks = -(-len(self.ids) // BLOCK)
 
     def __getstate__(self) -> bytes:
         """The postings alone, in few bytes, as every machine gets them; the rest is worked out again."""
-        numbers = [self.places, self.times, np.diff(self.starts)]
-        few = [x.astype(np.min_scalar_type(int(x.max(initial=0)))) for x in numbers]
+        few = [_compact(x) for x in (self.places, self.times, np.diff(self.starts))]
         return zlib.compress(pickle.dumps((self.idf, self.ids, self.labels, self.lengths, self.common, *few), protocol=5), 1)
 
     def __setstate__(self, state: bytes) -> None:
         self.idf, self.ids, self.labels, self.lengths, self.common, places, times, held = pickle.loads(zlib.decompress(state))
-        self.places, self.times = places.astype(np.int32), times.astype(np.int32)
+        self.places, self.times = places.astype(np.int32), times
         self.starts = np.concatenate([[0], np.cumsum(held, dtype=np.int64)])
         self._weigh()
 
@@ -323,9 +339,10 @@ class Model:
         return score, self.index.ids[numbers[(self.index.labels[numbers] > 0) == (score >= THRESHOLD)]].tolist()
 
 
-def _together(model: Model, known: _Known, texts: list[str | None]) -> list[tuple[float, list[int]]]:
-    """Scores of texts, a few compared at once."""
-    return [x for i in range(0, len(texts), TOGETHER) for x in model.scores([known.counts(text) for text in texts[i : i + TOGETHER]])]
+def _together(model: Model, known: _Known, texts: pa.Array) -> list[tuple[float, list[int]]]:
+    """Scores of texts, a few read and compared at once."""
+    parts = (texts.slice(i, TOGETHER).to_pylist() for i in range(0, len(texts), TOGETHER))
+    return [x for part in parts for x in model.scores([known.counts(text) for text in part])]
 
 
 def _votes(model):
@@ -343,6 +360,8 @@ def _votes(model):
                 near, _ = own.index.search([x[0] for x in some], [x[1] for x in some])
                 found += [(own.index.vote(*x, own.prior), label) for x, (_, _, label) in zip(near, some, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.float64()), pa.array([x for _, x in found], pa.float64())], names=["vote", "label"])
+        del own, known
+        give_back()
 
     return run
 
@@ -352,11 +371,13 @@ def _scored(model):
         own = pickle.loads(model.value)
         known = _Known(own.terms)
         for batch in batches:
-            rows = _together(own, known, batch.column(batch.num_columns - 1).to_pylist())
+            rows = _together(own, known, batch.column(batch.num_columns - 1))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array([x for x, _ in rows], pa.float64()), pa.array([x for _, x in rows], pa.list_(pa.int64()))],
                 names=[*batch.schema.names[:-1], "score", "evidence"],
             )
+        del own, known
+        give_back()
 
     return run
 
@@ -429,8 +450,10 @@ def _harmless(model):
         own = pickle.loads(model.value)
         known = _Known(own.terms)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            texts = batch.column(batch.schema.get_field_index("text"))
             yield batch.filter(pa.array([score < THRESHOLD for score, _ in _together(own, known, texts)], pa.bool_()))
+        del own, known
+        give_back()
 
     return run
 

@@ -1,8 +1,12 @@
 """The block-max index of toxicity against cosines worked out plainly over all terms of all examples."""
 
 import math
+import pickle
+import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,3 +89,40 @@ def test_odd_texts_and_the_evidence(spark, learnt):
     assert len({(r.score, tuple(r.evidence)) for r in found if r.doc_id in (1, None)}) == 1
     assert by_id[1].evidence and all("grub" in texts[i] for i in by_id[1].evidence)
     assert not by_id[3].evidence and not by_id[5].evidence and by_id[3].score == by_id[4].score == by_id[5].score
+
+
+def test_an_index_is_loaded_in_little_more_than_its_postings():
+    size, held = 4000, 50
+    index = toxicity.Index(
+        np.ones(size), np.arange(size), np.zeros(size, np.int64), np.full(size, held),
+        np.arange(size * held, dtype=np.int32) % size, np.arange(size * held, dtype=np.int32) % 7 + 1,
+    )
+    state = pickle.dumps(index)
+    tracemalloc.start()
+    loaded = pickle.loads(state)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 24 * size * held
+    assert np.array_equal(loaded.values, index.values) and np.array_equal(loaded.times, index.times)
+    assert np.array_equal(loaded.values, (1 + np.log(index.times.astype(float))) / index.lengths[index.places])
+
+
+def test_tasks_give_memory_back(learnt, monkeypatch):
+    texts, model = learnt
+    given = []
+    monkeypatch.setattr(toxicity, "give_back", lambda: given.append(1))
+    sent = SimpleNamespace(value=pickle.dumps(model))
+    joined = SimpleNamespace(value=pickle.dumps(toxicity._joined(model.terms)))
+    ids = pa.array(range(1, 9), pa.int64())
+    rows = pa.array([texts[i] for i in range(1, 9)])
+    labels = pa.array([0, 1] * 4, pa.int32())
+    runs = [
+        (toxicity._harmless(sent), [ids, rows], ["doc_id", "text"]),
+        (toxicity._scored(sent), [ids, rows], ["doc_id", "text"]),
+        (toxicity._votes(sent), [ids, rows, labels], ["doc_id", "text", "label"]),
+        (toxicity._vectors(joined), [ids, rows, labels], ["doc_id", "text", "label"]),
+        (toxicity._sampled_terms, [rows, labels, ids], ["text", "label", "doc_id"]),
+    ]
+    for done, (run, columns, names) in enumerate(runs, 1):
+        assert sum(batch.num_rows for batch in run(iter([pa.RecordBatch.from_arrays(columns, names=names)])))
+        assert len(given) == done
