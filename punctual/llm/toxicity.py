@@ -15,7 +15,10 @@ from __future__ import annotations
 
 import pickle
 import re
+import sys
 import zlib
+from array import array
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import cached_property
@@ -115,6 +118,17 @@ class _Known(dict):
         self.starts = {term[:-1]: i for term, i in terms.items() if term.endswith("*")}
         #: The first five letters of the longer of them tell most other words apart.
         self.heads = {term[:5] for term in self.starts}
+        #: Of each term the known beginnings of the word (0: none; else the place of a tuple in ``alike``).
+        self.begun, alike, words = array("H", bytes(2 * len(terms))), {(): 0}, list(terms)
+        # The terms are sorted, so words of one beginning follow each other; no more sets of beginnings than beginnings.
+        self.alike = [()]
+        for start, i in sorted(self.starts.items()):
+            for at in range(bisect_left(words, start), bisect_left(words, start + chr(sys.maxunicode))):
+                own = (*self.alike[self.begun[at]], i)
+                if own not in alike:
+                    alike[own] = len(alike)
+                    self.alike.append(own)
+                self.begun[at] = alike[own]
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= REMEMBERED:
@@ -123,15 +137,20 @@ class _Known(dict):
         return found
 
     def counts(self, text: str | None) -> dict[int, int]:
-        found: dict[int, int] = {}
-        number, starts, heads = self.terms.get, self.starts, self.heads
-        for word, times in Counter(_WORDS((text or "").lower())).items():
-            own = number(word)
-            if own is not None:
-                found[own] = times
-            if word[:5] in heads or word[:4] in starts or word[:3] in starts:
-                for term in self[word]:
-                    found[term] = found.get(term, 0) + times
+        words = Counter(_WORDS((text or "").lower()))
+        numbers = list(map(self.terms.get, words))
+        found = dict(zip(numbers, words.values(), strict=True))
+        unknown = found.pop(None, 0)
+        begun, alike, starts, heads = self.begun, self.alike, self.starts, self.heads
+        for own in [own for own in found if begun[own]]:
+            times = found[own]
+            for term in alike[begun[own]]:
+                found[term] = found.get(term, 0) + times
+        if unknown:
+            for word, own in zip(words, numbers, strict=True):
+                if own is None and (word[:5] in heads or word[:4] in starts or word[:3] in starts):
+                    for term in self[word]:
+                        found[term] = found.get(term, 0) + words[word]
         return found
 
 
@@ -140,6 +159,15 @@ def _compact(numbers: np.ndarray) -> np.ndarray:
     return numbers.astype(np.min_scalar_type(int(numbers.max(initial=0))))
 
 
+def _runs(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places from each start to its end, one run after the other, and the runs' sizes."""
+    sizes = ends - starts
+    after = np.cumsum(sizes)
+    places = np.arange(after[-1] if len(after) else 0)
+    places += np.repeat(starts - after + sizes, sizes)
+    return places, sizes
+
+
 class Index:
     """Block-max inverted index over the examples that have a term.
 
@@ -202,16 +230,18 @@ class Index:
     @cached_property
     def dense(self) -> list[tuple[np.ndarray, np.ndarray]]:
         """Of each block the common terms that it holds, and their weights in its examples."""
-        places = [self.places[self.starts[term] : self.starts[term + 1]] for term in self.common]
-        cuts = [np.searchsorted(own, np.arange(self.blocks + 1) * BLOCK) for own in places]
+        at, sizes = _runs(self.starts[self.common], self.starts[self.common + 1])
+        places, row = self.places[at], np.repeat(np.arange(len(self.common), dtype=np.int32), sizes)
+        order = np.argsort(places, kind="stable")
+        at, places, row = at[order], places[order], row[order]
+        ends = np.searchsorted(places, np.arange(self.blocks + 1) * BLOCK)
         found = []
         for block in range(self.blocks):
-            held = [row for row, cut in enumerate(cuts) if cut[block] < cut[block + 1]]
+            own = slice(ends[block], ends[block + 1])
+            held = np.flatnonzero(np.bincount(row[own], minlength=len(self.common)))
             weights = np.zeros((len(held), BLOCK))
-            for into, row in zip(weights, held, strict=True):
-                own = slice(cuts[row][block], cuts[row][block + 1])
-                into[places[row][own] - block * BLOCK] = self.values[self.starts[self.common[row]] :][own]
-            found.append((np.array(held, np.int64), weights))
+            weights[np.searchsorted(held, row[own]), places[own] - block * BLOCK] = self.values[at[own]]
+            found.append((held, weights))
         return found
 
     @cached_property
@@ -244,11 +274,9 @@ class Index:
             rows = self.row[terms]
             into[rows[rows >= 0]] = weights[rows >= 0]
             terms, weights = terms[rows < 0], weights[rows < 0]
-            starts, ends = self.starts[terms], self.starts[terms + 1]
             if len(terms):
-                these = [slice(*x) for x in zip(starts.tolist(), ends.tolist(), strict=True)]
-                values = np.concatenate([self.values[x] for x in these]) * np.repeat(weights, ends - starts)
-                own += np.bincount(np.concatenate([self.places[x] for x in these]), values, len(own))
+                at, sizes = _runs(self.starts[terms], self.starts[terms + 1])
+                own += np.bincount(self.places[at], self.values[at] * np.repeat(weights, sizes), len(own))
             if left is not None:
                 own[np.flatnonzero(self.ids == left)] = -np.inf
         by_block = scores.reshape(len(texts), self.blocks, BLOCK)
@@ -265,7 +293,7 @@ class Index:
             for block in np.flatnonzero(wanted.any(axis=0)):
                 own = np.flatnonzero(wanted[:, block])
                 held, weights = self.dense[block]
-                by_block[own, block] += common[own[:, None], held] @ weights
+                by_block[own, block] += common.take(own, axis=0).take(held, axis=1) @ weights
             done |= wanted
             if blocks < self.blocks:
                 for text, own in enumerate(wanted):

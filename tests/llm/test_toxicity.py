@@ -3,6 +3,7 @@
 import math
 import pickle
 import tracemalloc
+from collections import Counter
 from types import SimpleNamespace
 
 import numpy as np
@@ -91,6 +92,19 @@ def test_odd_texts_and_the_evidence(spark, learnt):
     assert not by_id[3].evidence and not by_id[5].evidence and by_id[3].score == by_id[4].score == by_id[5].score
 
 
+def test_terms_of_a_text_are_its_words_and_their_known_beginnings():
+    words = {"grub", "grubling", "grubster", "word", "über", "überall"}
+    marked = {"gru*", "grubl*", "grubs*", "übe*", "überal*", "wor*"}
+    terms = {term: i for i, term in enumerate(sorted(words | marked))}
+    known = toxicity._Known(terms)
+    text = "Grubling word grubling überall grub über 123 überalle gru grubland wo unheard"
+    plain = Counter(terms[term] for word in toxicity._WORDS(text.lower()) for term in toxicity.terms_of(word) if term in terms)
+    assert known.counts("grub Grubling grubster ÜBER überall") and not known  # words of the index need no look at their letters
+    assert known.counts(text) == plain
+    assert known.counts(None) == known.counts("") == known.counts("unheard 123") == {}
+    assert toxicity._Known({}).counts(text) == {}
+
+
 def test_an_index_is_loaded_in_little_more_than_its_postings():
     size, held = 4000, 50
     index = toxicity.Index(
