@@ -27,16 +27,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from punctual.llm.store import sent, stored
+from punctual.llm.store import give_back, sent, stored
 
 #: Characters of items that are searched for in one pass over the documents.
 BLOCK = 1 << 23
-#: Cells of the array of partial scores (sets by documents) that a task works on.
+#: Cells of the largest array (sets, or sets of all items, by documents) that a task works on.
 CELLS = 1 << 22
 #: Bytes of a text that are parted into words at a time.
 PIECE = 1 << 20
 #: Parts in which an item's rows are ranked before they meet.
 SALTS = 32
+#: Files that a block's ranked rows are written to at least, and rows of a file at most.
+FILES, ROWS = 4, 1 << 18
 
 #: Lower-cases A-Z and blanks whatever is in no term; bytes of other scripts stay.
 _FOLDED = bytes(
@@ -158,6 +160,7 @@ def _frequencies(found):
                 [batch.column(0), pa.array(lengths, pa.int64()), pa.array(terms, pa.binary()), pa.array(tfs, pa.binary())],
                 names=["doc_id", "n", "terms", "tf"],
             )
+        give_back()
 
     return run
 
@@ -169,6 +172,7 @@ def _holding(size: int):
             df += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int32), minlength=size)
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], names=["term", "df"])
+        give_back()
 
     return run
 
@@ -176,7 +180,7 @@ def _holding(size: int):
 def _best(found, top: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search: Search = pickle.loads(found.value)
-        step = max(1, CELLS // max(1, search.nodes))
+        step = max(1, CELLS // max(1, search.nodes, len(search.parts)))
         least = np.zeros(len(search.items), np.int64)
         held: list[tuple[np.ndarray, ...]] = []
 
@@ -213,6 +217,8 @@ def _best(found, top: int):
                 [pa.array([search.items[i] for i in item], pa.int64()), pa.array(doc, pa.int64(), mask=missing.astype(bool)), pa.array(score)],
                 names=["item_id", "doc_id", "score"],
             )
+        held.clear()
+        give_back()
 
     return run
 
@@ -257,6 +263,8 @@ def best_documents(docs: DataFrame, items: DataFrame, top: int = 50) -> DataFram
         df[rows.column("term").to_numpy()] = rows.column("df").to_numpy()
         search.weigh(count, length, df)
         best = vectors.mapInArrow(_best(sent(spark, search), top), "item_id long, doc_id long, score long")
-        found.append(stored(_ranked(best, top), "ranked"))
+        # Few rows go to few files, however many partitions rank them: Hadoop's local files cost processes.
+        files = max(FILES, math.ceil(len(search.items) * top / ROWS))
+        found.append(stored(_ranked(best, top).repartition(files), "ranked"))
     empty = spark.createDataFrame([], "item_id long, rank int, doc_id long, score long")
     return reduce(DataFrame.unionByName, found, empty)

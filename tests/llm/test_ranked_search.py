@@ -1,14 +1,19 @@
 """Ranked search against plain scores, and the graph of shared sets against plain sums."""
 
 import math
+import pickle
 import random
 import re
 from collections import Counter
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from punctual.llm import ranked_search as search
+from punctual.llm import store
 
 DOCS, ITEMS = "doc_id long, text string", "item_id long, text string"
 
@@ -91,3 +96,37 @@ def test_shared_sums_add_up(seed):
     for own, nodes in zip(sets, whole):
         assert sum((content[x] for x in nodes), Counter()) == Counter(own)
     assert sum(map(len, whole)) + len(sums) < sum(map(len, sets))
+
+
+def test_ranked_rows_go_to_few_files(spark, monkeypatch):
+    docs, items = some(8, 300, 40)
+    written = []
+    monkeypatch.setattr(search, "stored", lambda frame, name: written.append((name, table := store.stored(frame, name))) or table)
+    settings = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        assert found(spark, docs, items) == plain(docs, items)
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert [len(table.inputFiles()) <= 4 for name, table in written if name == "ranked"] == [True]
+
+
+def test_no_array_of_a_task_is_larger_than_its_cells(monkeypatch):
+    monkeypatch.setattr(search, "CELLS", 500)
+    own = search.Search([(i, b"t%d" % ((i * k) % 7)) for i in range(40) for k in (1, 2, 3)])
+    own.weigh(60, 600, np.full(len(own.terms), 5))
+    assert len(own.parts) > own.nodes
+    sizes, scores = [], search.Search.scores
+    monkeypatch.setattr(search.Search, "scores", lambda self, lengths, *rest: sizes.append(len(lengths)) or scores(self, lengths, *rest))
+    terms, tf = np.array([0, 1, 2], np.int32).tobytes(), np.array([1, 2, 1], np.int32).tobytes()
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(60), pa.int64()), pa.array([10] * 60, pa.int64()), pa.array([terms] * 60, pa.binary()), pa.array([tf] * 60, pa.binary())],
+        names=["doc_id", "n", "terms", "tf"],
+    )
+    best = [rows for rows in search._best(SimpleNamespace(value=pickle.dumps(own)), 5)(iter([batch]))]
+    assert sum(sizes) == 60 and max(sizes) * max(own.nodes, len(own.parts)) <= 500
+    # Equal scores: the first documents of each item.
+    assert {row["doc_id"] for rows in best for row in rows.to_pylist()} == set(range(5))
